@@ -167,10 +167,10 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, size: int) -> list[np.nda
         if hi - lo >= size:
             out.append(np.unique(grams[lo : hi - size + 1]))
         elif hi > lo:
-            short = U64(hi - lo)
-            for x in h[lo:hi]:
-                short = mix(np.array([short * _BASE + x], U64))[0]
-            out.append(np.array([short], U64))
+            short = np.full(1, hi - lo, U64)
+            for k in range(lo, hi):
+                short = mix(short * _BASE + h[k : k + 1])
+            out.append(short)
         else:
             out.append(np.empty(0, U64))
     return out
