@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, exact_dedup, langid, near_dup, packing, sharding, toxicity, url_filter
+from lodestone.llm import decontam, exact_dedup, langid, near_dup, packing, sharding, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ URL_RULES = [
 ]
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_components(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -70,6 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op3_near_dup": op3_near_dup,
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
@@ -83,6 +89,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+g AS (SELECT payload_digest, max(page_id) AS target, count(*) AS n FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN n > 1 AND target IS NOT NULL AND page_id IS DISTINCT FROM target THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n > 1 AND page_id IS DISTINCT FROM target THEN target END AS refers_to
+FROM d LEFT JOIN g USING (payload_digest)""",
     "op6_url_filter": f"""
 WITH cut AS (
   SELECT row_number() OVER () AS r, page_id,

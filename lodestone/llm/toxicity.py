@@ -10,7 +10,7 @@ identifier hash; its feature counts are summed in Spark and only the
 ``MOST_FEATURES`` best reach the driver. Scoring reads every whole text.
 
 Where labels only tell toxic from clean, toxic training rows are graded 1 or 2:
-above the median share of telling words is grade 2.
+more distinct telling words than their median is grade 2.
 
 Null and empty texts have no features and get the base severity. Labels with a
 null id or grade are ignored; of several labels of one document the highest counts.
@@ -19,6 +19,7 @@ Repeated rows are scored alike. Without two grades in training every severity is
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -27,9 +28,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import materialize, release
+
 TRAIN_ROWS = 20_000
 MOST_FEATURES = 4096
+#: A feature's likelihood ratio must exceed 2 ln(candidates) by so much: chance then gives hardly any.
+LEAST_GAIN = 6.0
 HEAD = 4
+#: Feature of a text that has any other feature.
+ANY = ""
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -51,6 +58,8 @@ def telling(text: str | None, heads: set[str], known) -> set[str]:
             for f in (w, w[:4] + "*", w[:5] + "*", w[:6] + "*"):
                 if f in known:
                     out.add(f)
+    if out:
+        out.add(ANY)
     return out
 
 
@@ -71,25 +80,24 @@ def _count_features(batches):
 
 def _vectors(features: list[str]):
     at = {f: i for i, f in enumerate(features)}
-    heads = {f[:HEAD] for f in features}
+    heads = {f[:HEAD] for f in features if f}
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            found, shares = [], []
+            found, hits = [], []
             for text in pdf["text"]:
                 words = _WORD.findall(text.lower()) if text else []
                 known = telling(text, heads, at)
                 found.append([at[f] for f in known])
-                hits = sum(w in at or w[:4] + "*" in at or w[:5] + "*" in at or w[:6] + "*" in at for w in words if w[:HEAD] in heads)
-                shares.append(hits / max(1, len(words)))
-            yield pd.DataFrame({"grade": pdf["grade"], "found": found, "share": shares})
+                hits.append(len({w for w in words if w[:HEAD] in heads and (w in at or w[:4] + "*" in at or w[:5] + "*" in at or w[:6] + "*" in at)}))
+            yield pd.DataFrame({"grade": pdf["grade"], "found": found, "hits": hits})
 
     return run
 
 
-def fit_cumulative_link(rows: list[list[int]], grades: np.ndarray, n_features: int, l2: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative_link(rows: list[list[int]], grades: np.ndarray, n_features: int, l2: float = 1e-5, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood by Adam; thresholds stay ordered as a running sum of
     positive gaps. Weights are shared by all thresholds."""
     top = int(grades.max())
@@ -141,21 +149,25 @@ def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col: st
     # evidence for the toxic side: rate ratio, and a likelihood ratio against equal rates
     both = (F.col("bad") + F.col("good")) / (bad + good)
     gain = 2 * (F.col("bad") * F.log(F.col("bad") / (bad * both)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (good * both))).otherwise(0.0))
-    best = counted.where((F.col("bad") >= 3) & (F.col("bad") / bad > 8 * F.col("good") / good)).withColumn("gain", gain).where("gain > 15").orderBy(F.desc("gain"), "feature").limit(most_features)
+    candidates = materialize(counted.where("bad >= 3"), "features")
+    least = 2 * math.log(max(1, candidates.count())) + LEAST_GAIN
+    best = candidates.where(F.col("bad") / bad > 8 * F.col("good") / good).withColumn("gain", gain).where(F.col("gain") > least).orderBy(F.desc("gain"), "feature").limit(most_features)
     features = [r["feature"] for r in best.select("feature", "gain").collect()]
+    release(candidates)
     if not features:
         return OrdinalModel()
-    found = rows.mapInPandas(_vectors(features), "grade int, found array<int>, share double").collect()  # at most about train_rows rows
+    features.append(ANY)
+    found = rows.mapInPandas(_vectors(features), "grade int, found array<int>, hits int").collect()  # at most about train_rows rows
     grades = np.array([r["grade"] for r in found])
     if grades.max() == 1:
-        shares = np.array([r["share"] for r in found])
-        grades = grades + ((grades == 1) & (shares > np.median(shares[grades == 1])))
+        hits = np.array([r["hits"] for r in found])
+        grades = grades + ((grades == 1) & (hits > np.median(hits[grades == 1])))
     weights, thresholds = fit_cumulative_link([r["found"] for r in found], grades, len(features))
     return OrdinalModel(dict(zip(features, map(float, weights), strict=True)), [float(b) for b in thresholds])
 
 
 def _scorer(model: OrdinalModel):
-    heads = {f[:HEAD] for f in model.weights}
+    heads = {f[:HEAD] for f in model.weights if f}
 
     def run(batches):
         import pyarrow as pa
@@ -180,7 +192,7 @@ def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
     """The rows that the first threshold does not reject, with all columns, in one
     pass without a shuffle."""
-    heads = {f[:HEAD] for f in model.weights}
+    heads = {f[:HEAD] for f in model.weights if f}
 
     def run(batches):
         import pyarrow as pa
