@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from functools import reduce
@@ -69,6 +70,13 @@ def release(df: DataFrame) -> None:
         delete_path(df.sparkSession, path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the context cleaner drop shuffle files of finished jobs: it acts when the
+    driver's JVM collects their handles, which may otherwise take half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z only; every other character stays as it is."""
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)
