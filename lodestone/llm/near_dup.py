@@ -5,17 +5,19 @@ collapse to one node first, so a group of copies costs one row. ``SAMPLES``
 MinHash values make the bands, and are folded into a parity bitmap (odd sketch)
 whose XOR population count estimates high similarities.
 
-1. Every band bucket links its members to its smallest node: a star, never all
-   pairs. The sketch discards distant pairs and the full sets confirm the rest.
-2. Connected components of the confirmed links.
-3. Buckets that still hold several components compare members of different
-   components, in blocks of bounded size, so no link is lost to the star; the
-   sketch filters inside the join, and the full sets confirm again.
-4. Components of both rounds.
+1. Star rounds. A band bucket links its members to one lead, never all pairs: its
+   smallest node at first, then a drawn member of its largest component for the
+   members of other components. The sketch discards distant pairs, the full sets
+   confirm the rest, and connected components follow each round.
+2. Buckets that still hold several components compare the members of different
+   components, block against block, so no link is lost to the stars. Here a finer
+   sketch of ``FINE_SAMPLES`` values decides which pairs reach the full sets, each
+   pair in the first band that it shares only.
 
 Rows and band size are chosen so that a pair at the threshold is missed with
-probability below ``MISS``; the sketch margin lies over five standard deviations
-below the threshold. Confirmation compares whole sets of 64-bit shingle hashes.
+probability below ``MISS``; the fine sketch's margin is five standard deviations
+below the threshold (stars may use a tighter one, as step 2 covers what they skip).
+Confirmation compares whole sets of 64-bit shingle hashes.
 
 Null texts and texts without words have the empty set and are linked with
 nothing. Repeated rows are nodes of the same set. Empty tables give empty results.
@@ -35,12 +37,17 @@ from lodestone.llm.common import U64, connected_components, materialize, mix, re
 SAMPLES = 128
 SKETCH_BITS = 512
 MISS = 1e-6
-#: Sketch estimates down to so far under the threshold go on to the full sets.
-MARGIN = 0.25
+FINE_SAMPLES = 1024
+FINE_BITS = 4096
+#: Sketch estimates down to so far under the threshold go on to the full sets:
+#: of a star, and of step 2.
+STAR_MARGIN = 0.08
+FINE_MARGIN = 0.07
+STAR_ROUNDS = 3
 #: Members of a bucket that one task compares with one another at a time.
-BLOCK = 512
+BLOCK = 1024
 
-_FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
+_FACTORS = mix(np.arange(1, FINE_SAMPLES + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
 
 
 def band_rows(percent: int) -> int:
@@ -52,10 +59,10 @@ def band_rows(percent: int) -> int:
     return max(fit)
 
 
-def minhash(values: np.ndarray) -> np.ndarray:
-    best = np.full(SAMPLES, np.iinfo(U64).max, U64)
+def minhash(values: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    best = np.full(samples, np.iinfo(U64).max, U64)
     for i in range(0, len(values), 512):
-        np.minimum(best, np.multiply.outer(_FACTORS, values[i : i + 512]).min(axis=1), out=best)
+        np.minimum(best, np.multiply.outer(_FACTORS[:samples], values[i : i + 512]).min(axis=1), out=best)
     return best
 
 
@@ -67,17 +74,17 @@ def band_keys(samples: np.ndarray, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
+def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """Parity of the samples' hits on each bit, as 64-bit words."""
-    at = mix(samples + np.arange(len(samples), dtype=U64) * U64(0xBF58476D1CE4E5B9)) % U64(SKETCH_BITS)
-    parity = (np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    at = mix(samples + np.arange(len(samples), dtype=U64) * U64(0xBF58476D1CE4E5B9)) % U64(bits)
+    parity = (np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(parity, bitorder="little").view(np.int64)
 
 
-def most_odd_bits(percent: int) -> int:
-    """XOR bits up to which a pair may still reach the threshold."""
-    apart = 1 - max(0.0, percent / 100 - MARGIN)
-    return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * apart / SKETCH_BITS)))
+def most_odd_bits(percent: int, margin: float, samples: int = SAMPLES, bits: int = SKETCH_BITS) -> int:
+    """XOR bits expected of a pair ``margin`` under the threshold."""
+    apart = 1 - max(0.0, percent / 100 - margin)
+    return math.ceil(bits / 2 * (1 - math.exp(-4 * samples * apart / bits)))
 
 
 def _sketcher(size: int, rows: int):
@@ -153,13 +160,78 @@ def _xor_bits(a: str, b: str) -> Column:
     return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(words)), F.lit(0))
 
 
+def _fine(size: int):
+    """(node, text) to (node, fine sketch)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i, j, data, starts in text_blocks(b.column(1)):
+                fine = [odd_sketch(minhash(v, FINE_SAMPLES), FINE_BITS).tobytes() for v in shingle_sets(data, starts, size)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(fine, pa.binary())], ["node", "fine"])
+
+    return run
+
+
+def _compare(most: int):
+    """Rows (key, i, j, side, node, root, fine, bands) sorted by (key, i, j) to the
+    pairs of different roots whose fine sketches are close."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def close(rows):
+            key, i, j = rows[0][:3]
+            left = [r for r in rows if r[3] == 0]
+            right = left if i == j else [r for r in rows if r[3] == 1]
+            if not left or not right:
+                return
+            sketch = [np.frombuffer(b"".join(r[6] for r in x), U64).reshape(len(x), -1) for x in (left, right)]
+            bands = [np.array([r[7] for r in x], np.int64) for x in (left, right)]
+            number = {root: k for k, root in enumerate({r[5] for r in rows})}
+            roots = [np.array([number[r[5]] for r in x]) for x in (left, right)]
+            if len(number) == 1:
+                return
+            for at in range(0, len(left), 32):
+                bits = np.bitwise_count(sketch[0][at : at + 32, None, :] ^ sketch[1][None, :, :]).sum(axis=2, dtype=np.int64)
+                fit = (bits <= most) & (roots[0][at : at + 32, None] != roots[1][None, :])
+                x, y = np.nonzero(fit)
+                x += at
+                if i == j:
+                    x, y = x[x < y], y[x < y]
+                if not len(x):
+                    continue
+                shared = bands[0][x] == bands[1][y]
+                first = bands[0][x, shared.argmax(axis=1)] == key
+                found = [(left[p][4], right[q][4]) for p, q in zip(x[first], y[first], strict=True)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.binary()), pa.array([max(f) for f in found], pa.binary())], ["a", "b"])
+
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and held[-1][:3] != row[:3]:
+                    yield from close(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from close(held)
+
+    return run
+
+
+def _texts(used: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """One text (node, text) of each node in ``used``."""
+    lows = nodes.join(used, "node", "left_semi").select("low").distinct()
+    texts = docs.join(lows, docs["id"].eqNullSafe(lows["low"]), "left_semi").select("text").mapInArrow(_keyed(size), "node binary, text string")
+    return materialize(texts.where("node IS NOT NULL").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
+
+
 def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose full sets reach the threshold."""
     pairs = materialize(pairs, "pairs")
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    lows = nodes.join(used, "node", "left_semi").select("low").distinct()
-    texts = docs.join(lows, docs["id"].eqNullSafe(lows["low"]), "left_semi").select("text").mapInArrow(_keyed(size), "node binary, text string")
-    texts = materialize(texts.where("node IS NOT NULL").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
+    texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), docs, nodes, size)
     met = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     links = materialize(met.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a binary, b binary"), "links")
     release(texts)
@@ -167,6 +239,28 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, perce
     return links
 
 
+def _merge(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Roots (node, root) after joining the components of ``links``."""
+    if roots is None:
+        found = connected_components(links)
+        merged = materialize(found, "roots")
+        release(found)
+        return merged
+
+    def side(name: str) -> DataFrame:
+        return roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+
+    lifted = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    found = connected_components(lifted)
+    top = found.select(F.col("node").alias("old"), F.col("root").alias("top"))
+    moved = roots.join(top, roots["root"] == top["old"], "left").select("node", F.coalesce("top", "root").alias("root"))
+    fresh = found.join(roots, "node", "left_anti").select("node", "root")
+    merged = materialize(moved.union(fresh), "roots")
+    release(found)
+    release(roots)
+    return merged
+
+
 def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, text_key (hash of the text), n_shingles, node (digest of the
     set, null where empty), component_id (smallest id of the component)."""
@@ -177,37 +271,42 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     nodes = materialize(sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("low"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "nodes")
     source = slim.select("id", "text")
 
-    # buckets with two members or more, each led by its smallest node
+    # buckets with two members or more
     banded = nodes.select("node", F.explode("bands").alias("key"))
     leads = banded.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = materialize(banded.join(leads, "key"), "buckets")
-    near = most_odd_bits(percent)
+    buckets = materialize(banded.join(leads, "key").select("key", "node", "lead"), "buckets")
+    near = most_odd_bits(percent, STAR_MARGIN)
     sketch_a, sketch_b = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
-    stars = shared.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(sketch_b, "b").join(sketch_a, "a").where(_xor_bits("sketch_a", "sketch_b") <= near).select("a", "b")
-    links = _links(stars, source, nodes, shingle, percent)
-    first = connected_components(links)
+    roots, mixed = None, buckets
+    for turn in range(STAR_ROUNDS):
+        stars = mixed.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+        close = stars.join(sketch_b, "b").join(sketch_a, "a").where(_xor_bits("sketch_a", "sketch_b") <= near).select("a", "b")
+        links = _links(close, source, nodes, shingle, percent)
+        roots = _merge(roots, links)
+        release(links)
+        # what is left: buckets of several components, and their next leads
+        tagged = mixed.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        shares = tagged.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node")).alias("drawn"))
+        heads = shares.groupBy("key").agg(F.max(F.struct("n", "root", "drawn.node")).alias("head"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("members")).where("roots > 1")
+        rest = tagged.join(heads, "key").select("key", "node", F.when(F.col("root") == F.col("head.root"), F.col("node")).otherwise(F.col("head.node")).alias("lead"), "root", "members")
+        rest = materialize(rest, "mixed")
+        release(mixed)
+        mixed = rest
 
     # members of one bucket in different components, block against block
-    tagged = shared.join(first, "node", "left").select("key", "node", "members", (F.col("node") == F.col("lead")).alias("leads"), F.coalesce("root", "node").alias("root"))
-    mixed = tagged.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("key")
-    mixed_rows = tagged.where("NOT leads").join(mixed, "key").join(nodes.select("node", "sketch"), "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    mixed_rows = materialize(mixed_rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "mixed")
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    left = mixed_rows.select("key", F.col("block").alias("i"), others.alias("j"), F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("sketch").alias("sketch_a"))
-    right = mixed_rows.select("key", others.alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("sketch").alias("sketch_b"))
-    cross = left.join(right, ["key", "i", "j"]).where((F.col("root_a") < F.col("root_b")) & (_xor_bits("sketch_a", "sketch_b") <= near)).select("a", "b").distinct()
-    more = _links(cross, source, nodes, shingle, percent)
-    release(mixed_rows)
-    release(shared)
-
-    def rooted(side: str) -> DataFrame:
-        return first.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-
-    lifted = more.join(rooted("a"), "a", "left").join(rooted("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    second = connected_components(lifted)
-    lifted_roots = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    labels = nodes.select("node", "low").join(first, "node", "left").withColumn("root", F.coalesce("root", "node")).join(lifted_roots, "root", "left").select("node", "low", F.coalesce("top", "root").alias("top"))
+    fine = materialize(_texts(mixed.select("node").distinct(), source, nodes, shingle).mapInArrow(_fine(shingle), "node binary, fine binary"), "fine")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rows = mixed.select("key", "node", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("key", "node", "root", "block", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "root")
+    rows = rows.join(fine, "node").join(nodes.select("node", "bands"), "node").select("key", "i", "j", "side", "node", "root", "fine", "bands")
+    most = most_odd_bits(percent, FINE_MARGIN, FINE_SAMPLES, FINE_BITS)
+    pairs = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(most), "a binary, b binary").distinct()
+    links = _links(pairs, source, nodes, shingle, percent)
+    roots = _merge(roots, links)
+    for x in (mixed, fine, links):
+        release(x)
+    labels = nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("top"))
     least = labels.groupBy("top").agg(F.min("low").alias("component_id"))
     labels = labels.join(least, "top").select("node", "component_id")
     return sketched.select("id", "text_key", "n_shingles", "node").join(labels, "node", "left").select(F.col("id").alias(id_col), "text_key", "n_shingles", "node", F.coalesce("component_id", "id").alias("component_id"))
