@@ -29,7 +29,7 @@ def to_number(c: Column, kind: T.DataType) -> Column:
 def to_time(c: Column, kind: T.DataType) -> Column:
     """timestamps, the five accepted string formats (naive ones are UTC), and
     64-bit numbers as Unix seconds; null otherwise."""
-    if isinstance(kind, T.TimestampType | T.DateType):
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType):
         return c.cast("timestamp")
     if isinstance(kind, T.StringType):
         return F.when(c.rlike(RFC3339) | c.rlike(NAIVE), F.regexp_replace(c, ",", ".").try_cast("timestamp"))

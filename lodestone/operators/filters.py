@@ -9,6 +9,7 @@ negated ones (nulls count as missing).
 from __future__ import annotations
 
 import logging
+from datetime import UTC
 from functools import reduce
 from typing import Any
 
@@ -134,6 +135,8 @@ def _ordered(x: Column, kind: T.DataType, operator: str, value: Any, dated: bool
     number, time = literal_number(value), literal_time(value)
     if isinstance(kind, T.NumericType) and number is not None:
         return compare(x, F.lit(number)) & ~F.isnan(x.cast("double")) if isinstance(kind, T.FractionalType) else compare(x, F.lit(int(number) if number.is_integer() and abs(number) < 2**63 else number))
+    if isinstance(kind, T.TimestampNTZType) and time is not None:  # stored without a zone: UTC
+        return compare(x, F.lit(time.astimezone(UTC).replace(tzinfo=None)).cast("timestamp_ntz"))
     if isinstance(kind, T.TimestampType | T.DateType) and time is not None:
         return compare(x.cast("timestamp"), F.lit(time))
     tests = []

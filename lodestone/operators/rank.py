@@ -18,7 +18,7 @@ def ranking_keys(df: DataFrame, criteria: tuple[RankingCriterion, ...]) -> list[
     for c in criteria:
         if c.field in (SCORE_FIELD, FILTERS_FIELD):
             key = F.col("score" if c.field == SCORE_FIELD else "filter_score")
-        elif isinstance(kinds.get(c.field), T.NumericType | T.StringType | T.TimestampType | T.DateType):
+        elif isinstance(kinds.get(c.field), T.NumericType | T.StringType | T.TimestampType | T.TimestampNTZType | T.DateType):
             key = F.col(f"`{c.field}`")
         else:
             continue
