@@ -263,7 +263,8 @@ def _merge(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, text_key (hash of the text), n_shingles, node (digest of the
-    set, null where empty), component_id (smallest id of the component)."""
+    set, null where empty), component (smallest digest of the component; ids may
+    repeat, digests do not), component_id (smallest id of the component)."""
     rows = band_rows(percent)
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).alias("text"))
     id_type = dict(slim.dtypes)["id"]
@@ -308,8 +309,8 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         release(x)
     labels = nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("top"))
     least = labels.groupBy("top").agg(F.min("low").alias("component_id"))
-    labels = labels.join(least, "top").select("node", "component_id")
-    return sketched.select("id", "text_key", "n_shingles", "node").join(labels, "node", "left").select(F.col("id").alias(id_col), "text_key", "n_shingles", "node", F.coalesce("component_id", "id").alias("component_id"))
+    labels = labels.join(least, "top").select("node", F.col("top").alias("component"), "component_id")
+    return sketched.select("id", "text_key", "n_shingles", "node").join(labels, "node", "left").select(F.col("id").alias(id_col), "text_key", "n_shingles", "node", "component", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,8 +319,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     found = near_components(docs, shingle, percent, id_col, text_col)
     none = F.lit(-(2**63)).cast("long")
     held = F.struct(F.coalesce(F.col(id_col), none).alias("_held_id"), F.col("text_key").alias("_held_key"))
-    # null components hold only rows without an id; each set keeps one
-    kept = found.where("node IS NOT NULL").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("node"))).agg(F.min(F.when(F.col(id_col).eqNullSafe(F.col("component_id")), held)).alias("kept")).select("kept.*")
+    kept = found.where("node IS NOT NULL").groupBy("component").agg(F.min(F.when(F.col(id_col).eqNullSafe(F.col("component_id")), held)).alias("kept")).select("kept.*")
     solid = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     keyed = docs.withColumns({"_held_id": F.coalesce(F.col(id_col).cast("long"), none), "_held_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     rows = keyed.where(solid).join(kept, ["_held_id", "_held_key"]).dropDuplicates(["_held_id", "_held_key"]).select(docs.columns)
