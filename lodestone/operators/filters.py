@@ -2,8 +2,8 @@
 
 Operators, coercions and array handling are resolved from the schema when the plan
 is built, so a filter on a typed column stays a plain predicate that reaches the
-Parquet scan. Leaves are two-valued: missing values fail every operator, also the
-negated ones (nulls count as missing).
+Parquet scan. Missing values fail every operator, also the negated ones (nulls count
+as missing); the match of a row that fails may be null instead of false.
 """
 
 from __future__ import annotations
@@ -69,8 +69,8 @@ def _condition(kinds: dict[str, T.DataType], c: dict[str, Any], filterable: tupl
         hit = _any(col, kind, lambda x, k: _equal(x, k, value, dated))
     else:
         hit = _any(col, kind, lambda x, k: _ordered(x, k, operator, value, dated))
-    hit = F.coalesce(hit, F.lit(False))
-    matches = col.isNotNull() & (~hit if negated else hit)
+    # a bare predicate reaches the scan; its null counts as false in AND, OR and WHERE
+    matches = col.isNotNull() & (~F.coalesce(hit, F.lit(False)) if negated else hit)
     return matches, F.when(matches, score).otherwise(0.0)
 
 
