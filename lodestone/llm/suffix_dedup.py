@@ -16,9 +16,12 @@ A byte goes if a ``length``-byte string that covers it also starts anywhere else
    bytes and hold two window starts are repeated. A class beyond one shard is
    cut into several, merged pairwise by binary search of their sorted windows.
 4. Classes of more than ``CLASS_REGIONS`` different regions (a frequent passage in
-   ever new surroundings) are cut into single windows, of which those that occur
-   once are dropped by their hash; the rest are shards keyed by window.
+   ever new surroundings) are cut into runs of ``RUN`` windows at equal distances
+   from the anchor. Runs that occur once and whose common core occurs once are
+   dropped by hash; equal runs, and single windows of runs with a shared core, are
+   the regions of further shards.
 
+All windows of a region overlap, so what its repeated windows cover is one range.
 Every task streams; it holds one shard, or one text. Null texts are empty; texts
 under ``length`` bytes lose nothing. Repeated rows are copies of each other.
 Region and window identities are 128-bit hashes; matches are decided on bytes.
@@ -32,12 +35,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import _BASE, U64, _power_tables, free_shuffles, materialize, mix, release, text_blocks, utf8_length
+from lodestone.llm.common import _BASE, _M1, U64, _power_tables, free_shuffles, materialize, mix, release, text_blocks, utf8_length
 
 LENGTH = 200
 GRAM = 32
 SHARD_BYTES = 1 << 20
 CLASS_REGIONS = 256
+RUN = 4
 PIECE = 1 << 20
 LANES = 4096
 
@@ -251,25 +255,17 @@ def repeated_windows(texts: list[bytes], multi: list[bool], length: int, shard_b
     return out
 
 
-def spans_of(mask: np.ndarray, length: int) -> list[int]:
-    """Covered byte ranges [from, to, from, to, ...] of a window mask."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-    out: list[int] = []
-    for s, e in zip(edge[::2], edge[1::2], strict=True):
-        out += [int(s), int(e - 1 + length)]
-    return out
-
-
 def _shard_runner(length: int, shard_bytes: int):
-    """(h, rh, multi, bytes) sorted by h to (h, rh, ranges)."""
+    """(h, rh, multi, bytes) sorted by h to (h, rh, from, to): the covered range of
+    each region with a repeated window."""
 
     def run(batches):
         import pyarrow as pa
 
         def solve(rows):
             masks = repeated_windows([r[3] for r in rows], [r[2] for r in rows], length, max(shard_bytes, 0))
-            kept = [(r[0], r[1], spans_of(m, length)) for r, m in zip(rows, masks, strict=True) if m.any()]
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64()), pa.array([k[2] for k in kept], pa.list_(pa.int32()))], ["h", "rh", "ranges"])
+            kept = [(r[0], r[1], int(m.argmax()), len(m) - 1 - int(m[::-1].argmax()) + length) for r, m in zip(rows, masks, strict=True) if m.any()]
+            return pa.RecordBatch.from_arrays([pa.array([k[c] for k in kept], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["h", "rh", "from", "to"])
 
         held: list[tuple] = []
         size = 0
@@ -313,26 +309,67 @@ def _cutter(length: int):
     return run
 
 
-def _single_windows(length: int):
-    """(h, rh, multi, bytes) to a row per window: h, rh, off, multi, w1, w2 (hashes)."""
+def _hashes(total: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each byte range and its tag."""
+    plain = (total[end] - total[start]) * down[start]
+    tag = tag.astype(U64)
+    return mix(plain + tag * _M1).view(np.int64), mix(plain * _BASE + mix(tag + U64(1))).view(np.int64)
+
+
+def _prefix(data) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    text = np.frombuffer(data, np.uint8)
+    up, down = _power_tables(len(text) + 1)
+    return text, np.concatenate((np.zeros(1, U64), np.cumsum((text.astype(U64) + U64(1)) * up[: len(text)]))), down
+
+
+def _runs(length: int, gram: int):
+    """(h, rh, multi, bytes) to rows of up to RUN windows: h, rh, first, last, multi,
+    q1, q2 (hashes of the run's bytes) and c (hash of the bytes that all windows at
+    these distances from the anchor share)."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             for h, rh, multi, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-                text = np.frombuffer(data.as_py(), np.uint8)
+                text, total, down = _prefix(data.as_py())
                 n = len(text) - length + 1
-                up, down = _power_tables(len(text) + 1)
-                total = np.concatenate((np.zeros(1, U64), np.cumsum((text.astype(U64) + U64(1)) * up[: len(text)])))
-                plain = (total[length:] - total[:-length]) * down[:n]
+                grams = mix((total[gram:] - total[:-gram]) * down[: len(text) - gram + 1]).view(np.int64)
+                anchor = int(np.flatnonzero(grams == h)[0])
+                number = np.unique((anchor - np.arange(n)) // RUN)
+                near = anchor - RUN * number  # the window nearest to the anchor, and the farthest
+                first, last = np.maximum(near - RUN + 1, 0), np.minimum(near, n - 1)
+                q1, q2 = _hashes(total, down, first, last + length, (number * RUN + (last - first)) * RUN + (near - last))
+                c, _ = _hashes(total, down, near, near - RUN + 1 + length, number)
+                m = len(number)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, h)), pa.array(np.full(n, rh)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, multi)), pa.array(mix(plain).view(np.int64)), pa.array(mix(plain * _BASE + U64(1)).view(np.int64))], ["h", "rh", "off", "multi", "w1", "w2"]
+                    [pa.array(np.full(m, h)), pa.array(np.full(m, rh)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(np.full(m, multi)), pa.array(q1), pa.array(q2), pa.array(c)],
+                    ["h", "rh", "first", "last", "multi", "q1", "q2", "c"],
                 )
 
     return run
 
 
+def _singles(length: int):
+    """(h, rh, first, last, multi, open, bytes of the run) to a row per window."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows: list[list] = [[] for _ in range(7)]
+            for h, rh, at, last, multi, is_open, data in zip(*(b.column(k).to_pylist() for k in range(6)), b.column(6), strict=True):
+                _, total, down = _prefix(data.as_py())
+                start = np.arange(last - at + 1)
+                w1, w2 = _hashes(total, down, start, start + length, np.zeros(len(start), np.int64))
+                for col, v in zip(rows, ([h] * len(start), [rh] * len(start), (start + at).tolist(), [multi] * len(start), [is_open] * len(start), w1.tolist(), w2.tolist()), strict=True):
+                    col.extend(v)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["h", "rh", "off", "multi", "open", "w1", "w2"])
+
+    return run
+
+
 def _remover(batches):
     """(id, text, ranges) to the removal result of each row."""
     import pyarrow as pa
@@ -387,23 +424,39 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     free_shuffles(spark)
 
     shards = cut.where(F.col("kinds") <= class_regions).select("h", "rh", "multi", "bytes").repartition("h").sortWithinPartitions("h")
-    found = shards.mapInArrow(_shard_runner(length, shard_bytes), "h long, rh long, ranges array<int>")
-    found = found.select("h", "rh", F.explode(F.transform(F.sequence(F.lit(0), (F.size("ranges") / 2).cast("int") - 1), lambda i: F.struct(F.get("ranges", 2 * i).alias("from"), F.get("ranges", 2 * i + 1).alias("to")))).alias("range"))
+    covered = "h long, rh long, `from` int, `to` int"
+    found = shards.mapInArrow(_shard_runner(length, shard_bytes), covered)
+
+    def proven(groups: DataFrame, one: str, two: str) -> DataFrame:
+        """Of the hash groups those whose two places agree byte for byte."""
+        places = groups.select(one, two, "multi", F.explode(F.array_distinct(F.array("low", "high"))).alias("p")).select(one, two, "multi", "p.*")
+        texts = places.join(hot.select("h", "rh", "bytes"), ["h", "rh"]).select(F.col(one).alias("h"), F.col(two).alias("rh"), "multi", F.expr(f"substring(bytes, first + 1, last - first + {length})").alias("bytes"))
+        return texts.repartition("h").sortWithinPartitions("h").mapInArrow(_shard_runner(length, shard_bytes), covered).select(F.col("h").alias(one), F.col("rh").alias(two)).distinct()
 
-    # frequent anchors in many surroundings: window by window
+    # frequent anchors in many surroundings: run by run, then window by window
     hot = cut.where(F.col("kinds") > class_regions).select("h", "rh", "multi", "bytes")
-    windows = materialize(hot.mapInArrow(_single_windows(length), "h long, rh long, off int, multi boolean, w1 long, w2 long"), "windows")
-    spot = F.xxhash64("h", "rh", "off")
-    again = windows.groupBy("w1", "w2").agg(F.min(spot).alias("low"), F.max(spot).alias("high"), F.max("multi").alias("multi"), F.min(F.struct("h", "rh", "off")).alias("rep")).where("multi OR low != high").select("w1", "w2", "rep.*")
-    texts = again.join(hot.select("h", "rh", "bytes"), ["h", "rh"]).select(F.col("w1").alias("h"), F.col("w2").alias("rh"), F.lit(True).alias("multi"), F.substring("bytes", F.col("off") + 1, F.lit(length)).alias("bytes"))
-    proven = texts.repartition("h").sortWithinPartitions("h").mapInArrow(_shard_runner(length, shard_bytes), "h long, rh long, ranges array<int>").select(F.col("h").alias("w1"), F.col("rh").alias("w2"))
-    hot_found = windows.join(proven, ["w1", "w2"]).select("h", "rh", F.struct(F.col("off").alias("from"), (F.col("off") + length).alias("to")).alias("range"))
-
-    ranges = materialize(found.union(hot_found), "ranges")
-    for x in (cut, windows):
+    runs = materialize(hot.mapInArrow(_runs(length, gram), "h long, rh long, first int, last int, multi boolean, q1 long, q2 long, c long"), "runs")
+    where = F.struct("h", "rh", "first", "last")
+    groups = runs.groupBy("q1", "q2").agg(F.min(where).alias("low"), F.max(where).alias("high"), F.max("multi").alias("multi"), F.min("c").alias("c"))
+    full = materialize(proven(groups.where("multi OR low != high"), "q1", "q2"), "full")
+    run_found = runs.join(full, ["q1", "q2"]).select("h", "rh", F.col("first").alias("from"), (F.col("last") + length).alias("to"))
+    # runs that are not repeated as a whole but share their core with another: with one
+    # run of each repeated kind, as their windows may repeat there
+    cores = groups.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c")
+    kinds_of = groups.join(cores, "c", "left_semi").join(full.withColumn("whole", F.lit(True)), ["q1", "q2"], "left")
+    pieces = kinds_of.select("low.*", "multi", F.col("whole").isNull().alias("open"))
+    cut_pieces = pieces.join(hot.select("h", "rh", "bytes"), ["h", "rh"]).select("h", "rh", "first", "last", "multi", "open", F.expr(f"substring(bytes, first + 1, last - first + {length})").alias("bytes"))
+    singles = materialize(cut_pieces.mapInArrow(_singles(length), "h long, rh long, off int, multi boolean, open boolean, w1 long, w2 long"), "singles")
+    spot = F.struct("h", "rh", F.col("off").alias("first"), F.col("off").alias("last"))
+    pairs = singles.groupBy("w1", "w2").agg(F.min(spot).alias("low"), F.max(spot).alias("high"), F.max("multi").alias("multi")).where("multi OR low != high")
+    window_found = singles.where("open").join(proven(pairs, "w1", "w2"), ["w1", "w2"]).select("h", "rh", F.col("off").alias("from"), (F.col("off") + length).alias("to"))
+
+    ranges = found.union(run_found).union(window_found).groupBy("h", "rh").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    ranges = materialize(ranges, "ranges")
+    for x in (cut, runs, full, singles):
         release(x)
     free_shuffles(spark)
-    placed = often.select("h", "rh", "t1", "t2", "at").join(ranges, ["h", "rh"]).select("t1", "t2", (F.col("at") + F.col("range.from")).alias("from"), (F.col("at") + F.col("range.to")).alias("to"))
+    placed = often.select("h", "rh", "t1", "t2", "at").join(ranges, ["h", "rh"]).select("t1", "t2", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to"))
     copies = slim.select("t1", "t2", utf8_length(F.col("text")).alias("n")).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")).where((F.col("copies") > 1) & (F.col("n") >= length)).select("t1", "t2", F.lit(0).cast("long").alias("from"), F.col("n").alias("to"))
     per_text = placed.union(copies).groupBy("t1", "t2").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
     per_text = materialize(per_text, "removals")
