@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed values of the token rules: camel-case boundaries, word characters, blanks.
+# Fixed values of the token rules: camel-case boundaries, separators, blanks.
 ACRONYM_END = r"([A-Z]+)([A-Z][a-z])"
 CAMEL = r"([a-z0-9])([A-Z])"
-WORD = r"[a-z0-9]+"
-NO_BLANK = r"[^ \t\r\n]+"
+SEPARATOR = r"[^a-z0-9]+"
+BLANK = r"[ \t\r\n]+"
 
 
 def tokenize(text: Column) -> Column:
@@ -20,13 +20,13 @@ def tokenize(text: Column) -> Column:
     T8: U+0130 lowers to a plain i. Null has no tokens."""
     parted = F.regexp_replace(F.regexp_replace(text, ACRONYM_END, "$1 $2"), CAMEL, "$1 $2")
     lowered = F.lower(F.translate(parted, "İ", "i"))
-    return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(lowered, SEPARATOR), ""), F.array().cast("array<string>"))
 
 
 def tokenize_text(text: str) -> list[str]:
     """T1 on the driver, for query strings."""
     parted = re.sub(CAMEL, r"\1 \2", re.sub(ACRONYM_END, r"\1 \2", text))
-    return re.findall(WORD, parted.replace("İ", "i").lower())
+    return [t for t in re.split(SEPARATOR, parted.replace("İ", "i").lower()) if t]
 
 
 def prefixes(token: Column) -> Column:
@@ -63,7 +63,7 @@ def field_length(df: DataFrame, field: str) -> Column:
     text = field_text(df, field)
     if text is None:
         return F.lit(0)
-    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(NO_BLANK), F.lit(0))), F.lit(0))
+    return F.coalesce(F.size(F.array_remove(F.split(text, BLANK), "")), F.lit(0))
 
 
 def search_type(query: Column, has_filters: Column) -> Column:
@@ -71,6 +71,6 @@ def search_type(query: Column, has_filters: Column) -> Column:
     return (
         F.when(has_filters | (query == ""), "filtered")
         .when(query.contains("*") | query.contains("?"), "wildcard")
-        .when((F.size(F.regexp_extract_all(query, F.lit(r"\S+"), F.lit(0))) == 1) & (F.octet_length(query) > 3), "fuzzy_search")
+        .when((F.size(F.array_remove(F.split(query, r"\s+"), "")) == 1) & (F.octet_length(query) > 3), "fuzzy_search")
         .otherwise("exact_match")
     )
