@@ -8,6 +8,7 @@ page. A single search is a batch of one.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +68,33 @@ def query_tokens(index: IndexTables, queries: list[SearchQuery]) -> DataFrame:
     return tokens.groupBy("qk", "token", "wanted", "fields", "min1", "min2").agg(F.count(F.lit(1)).alias("times"))
 
 
+def _reach(index: IndexTables, cands: DataFrame) -> DataFrame:
+    """(qk, token, cand, cls, field, term): the words that each candidate reaches. In
+    whole-word fields that is the candidate itself, without a look at the vocabulary."""
+    s = index.settings
+    narrow = [f for f in s.searchable_fields if f not in s.prefix_fields]
+    columns = ["qk", "token", "cand", "cls", "field", "term"]
+    parts = []
+    if narrow:
+        parts.append(cands.select("qk", "token", "cand", "cls", F.explode(F.array(*map(F.lit, narrow))).alias("field"), F.col("cand").alias("term")))
+    if s.prefix_fields:
+        wide = index.words.where(F.col("field").isin(list(s.prefix_fields)))
+        parts.append(prefix_map(wide, s).join(F.broadcast(cands), F.col("prefix") == F.col("cand")).select(columns))
+    if not parts:
+        return cands.select("qk", "token", "cand", "cls", F.lit("").alias("field"), F.col("cand").alias("term")).limit(0)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _pruned(postings: DataFrame, settings: IndexSettings, tokens: set[str]) -> DataFrame:
+    """Exact searches for few tokens give the scan the terms themselves: postings are
+    sorted by term, so most row groups are skipped."""
+    if settings.prefix_fields:
+        if len(tokens) > 16:
+            return postings
+        return postings.where(reduce(lambda a, b: a | b, (F.col("term").startswith(t) for t in sorted(tokens)), F.lit(False)))
+    return postings.where(F.col("term").isin(sorted(tokens))) if len(tokens) <= 1000 else postings
+
+
 def matches(index: IndexTables, queries: list[SearchQuery], typos: bool = True) -> DataFrame:
     """Q3-Q12, Q15-Q18: hits (qk, documentID, score, num_typos, number_exact_words,
     matched) of documents that match every token exactly or by a typo."""
@@ -76,11 +104,12 @@ def matches(index: IndexTables, queries: list[SearchQuery], typos: bool = True)
     cands = qtok.select("qk", "token", F.col("token").alias("cand"), F.lit(0).alias("cls"))
     if typos:
         cands = cands.unionByName(expansions(qtok.select("qk", "token", "min1", "min2"), dictionary(index.words, s), s.non_typo_tolerant_words, n_tokens))
-    reach = prefix_map(index.words, s).join(F.broadcast(cands), F.col("prefix") == F.col("cand")).select("qk", "token", "cand", "cls", "field", "term")
+    reach = _reach(index, cands)
     reach = reach.join(F.broadcast(qtok.select("qk", "token", "times", "wanted", "fields")), ["qk", "token"]).where(F.array_contains("fields", F.col("field")))
     if s.typo_field_exclusions and s.no_typo_tolerance_fields:
         reach = reach.where((F.col("cls") == 0) | ~F.col("field").isin(list(s.no_typo_tolerance_fields)))
-    met = index.postings.join(reach.drop("fields"), ["term", "field"])
+    postings = index.postings if typos else _pruned(index.postings, s, {t for q in queries for t in tokenize_text(q.query)})
+    met = postings.join(reach.drop("fields"), ["term", "field"])
     wide = F.col("field").isin(list(s.prefix_fields)) if s.prefix_fields else F.lit(False)
     weight = F.when(wide, F.lit(1.0)).otherwise(F.col("tf").cast("double"))
     exact = F.col("cls") == 0
