@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import materialize
+
 CAPACITY = 2048
 BLOCK = 2048
 
@@ -92,12 +94,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, id_col:
     (the piece's offset in its bin), bin_words (the bin's fill)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     cluster = F.xxhash64(text) if cluster_col is None else F.xxhash64(F.col(cluster_col))
-    n_words = F.size(F.split(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), " "))
-    words = F.when(text.rlike(r"[^\x20\x09-\x0D]"), n_words).otherwise(0)
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"), words.alias("words")).where("words > 0")
+    words = F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"), words.alias("words"))
     id_type = dict(sized.dtypes)["id"]
-    # repeated rows are counted and numbered, so that they spread over the blocks too
-    sized = sized.groupBy("id", "source", "cluster", "words").agg(F.count(F.lit(1)).alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    # repeated rows are counted and numbered, so that they spread over the blocks too;
+    # written once, since both kinds of pieces read it
+    sized = materialize(sized.groupBy("id", "source", "cluster", "words").agg(F.count(F.lit(1)).alias("copies")), "lengths").where("words > 0")
+    sized = sized.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     blocks = max(1, math.ceil(docs.count() / block))
     sized = sized.withColumn("block", F.pmod(F.xxhash64("id", "cluster", "copy"), F.lit(blocks)).cast("int"))
     whole = F.floor(F.col("words") / capacity).cast("int")
