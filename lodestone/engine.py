@@ -52,7 +52,13 @@ class Index:
         bad = [f"document {r['reason']}" for r in rejected.limit(20).collect()]
         if bad:
             raise InvalidInput(bad)
-        return self.engine._job("add_documents", self.name, lambda progress: self.store.upsert(valid), wait)
+
+        def work(progress: Callable) -> None:
+            progress(0, 1, "writing a segment")
+            self.store.upsert(valid)
+            progress(1, 1, "documents are searchable")
+
+        return self.engine._job("add_documents", self.name, work, wait)
 
     def delete(self, ident: str, wait: bool = False) -> str:
         """A missing document makes the job fail."""
