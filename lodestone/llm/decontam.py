@@ -24,18 +24,19 @@ from lodestone.llm.common import lower_ascii, materialize
 #: Up to so many distinct windows (about 200 bytes each) the set is broadcast.
 BROADCAST_WINDOWS = 250_000
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
     """Words of a text, A-Z lower-cased; null has none."""
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
 def _window_keys(hashes: Column, length: int) -> Column:
-    """Hash of every run of ``length`` word hashes, in order."""
+    """Hash of every run of ``length`` word hashes, in order; the same value as the
+    hash of the run as an array."""
     size = F.size(hashes)
-    return F.when(size >= length, F.transform(F.sequence(F.lit(1), size - length + 1), lambda i: F.xxhash64(F.slice(hashes, i, length)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(size >= length, F.transform(F.sequence(F.lit(0), size - length), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(length)]))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _range(start: Column, end: Column) -> Column:
