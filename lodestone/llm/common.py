@@ -70,6 +70,13 @@ def release(df: DataFrame) -> None:
         delete_path(df.sparkSession, path)
 
 
+def exchanged(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with a partitioning that the planner cannot see. An aggregate joined on
+    its own keys is not shuffled again, and a join can split a hot key only where both
+    sides are shuffled for it; the aggregate is the smaller side, so this costs little."""
+    return df.withColumns({k: F.greatest(k, k) for k in keys})
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files of finished jobs: it acts when the
     driver's JVM collects their handles, which may otherwise take half an hour."""
@@ -223,7 +230,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        joined = both.join(low, "a")
+        joined = both.join(exchanged(low, "a"), "a")
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         else:

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, connected_components, materialize, mix, release, shingle_sets, text_blocks
+from lodestone.llm.common import U64, connected_components, exchanged, materialize, mix, release, shingle_sets, text_blocks
 
 SAMPLES = 128
 SKETCH_BITS = 512
@@ -275,7 +275,7 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     # buckets with two members or more
     banded = nodes.select("node", F.explode("bands").alias("key"))
     leads = banded.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = materialize(banded.join(leads, "key").select("key", "node", "lead"), "buckets")
+    buckets = materialize(banded.join(exchanged(leads, "key"), "key").select("key", "node", "lead"), "buckets")
     near = most_odd_bits(percent, STAR_MARGIN)
     sketch_a, sketch_b = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
     roots, mixed = None, buckets
@@ -289,7 +289,7 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         tagged = mixed.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         shares = tagged.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node")).alias("drawn"))
         heads = shares.groupBy("key").agg(F.max(F.struct("n", "root", "drawn.node")).alias("head"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("members")).where("roots > 1")
-        rest = tagged.join(heads, "key").select("key", "node", F.when(F.col("root") == F.col("head.root"), F.col("node")).otherwise(F.col("head.node")).alias("lead"), "root", "members")
+        rest = tagged.join(exchanged(heads, "key"), "key").select("key", "node", F.when(F.col("root") == F.col("head.root"), F.col("node")).otherwise(F.col("head.node")).alias("lead"), "root", "members")
         rest = materialize(rest, "mixed")
         release(mixed)
         mixed = rest

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import scratch_path
+from lodestone.llm.common import exchanged, scratch_path
 
 REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 4000
@@ -262,7 +262,7 @@ def revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     best = F.max(F.struct("id", F.coalesce("url", F.lit("")).alias("url"))).alias("best")
     groups = rows.select("id", "url", digest.alias("digest")).where("digest IS NOT NULL").groupBy("digest").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = groups.select("digest", F.col("best.id").alias("target"), F.col("best.url").alias("target_url"))
-    met = rows.withColumn("digest", digest).join(groups, "digest", "left")
+    met = rows.withColumn("digest", digest).join(exchanged(groups, "digest"), "digest", "left")
     again = F.col("target").isNotNull() & ~F.col("id").eqNullSafe(F.col("target"))
     return met.select("id", "url", "html", F.when(again, F.col("target")).alias("refers_to"), F.when(again, F.col("target_url")).alias("refers_url"))
 
