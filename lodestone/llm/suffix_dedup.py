@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import _BASE, _M1, U64, _power_tables, free_shuffles, materialize, mix, release, text_blocks, utf8_length
+from lodestone.llm.common import _BASE, _M1, U64, _power_tables, exchanged, free_shuffles, materialize, mix, release, text_blocks, utf8_length
 
 LENGTH = 200
 GRAM = 32
@@ -43,7 +43,7 @@ SHARD_BYTES = 1 << 20
 CLASS_REGIONS = 256
 RUN = 4
 PIECE = 1 << 20
-LANES = 4096
+LANES = 16384
 
 
 # --- regions -----------------------------------------------------------------------------
@@ -128,7 +128,7 @@ def packed(text: np.ndarray, pad: int) -> np.ndarray:
 def suffix_array(keys: np.ndarray, n: int) -> np.ndarray:
     """Suffixes of the first ``n`` positions in order, by Larsson-Sadakane
     refinement from eight-byte keys; a suffix that ends earlier comes first."""
-    sa = np.argsort(keys[:n], kind="stable")
+    sa = np.argsort(keys[:n])
     ranked = keys[sa]
     first = np.ones(n, bool)
     first[1:] = ranked[1:] != ranked[:-1]
@@ -141,7 +141,7 @@ def suffix_array(keys: np.ndarray, n: int) -> np.ndarray:
         pos = sa[open_at]
         own = rank[pos]
         pair = (own.astype(U64) << U64(32)) | rank[np.minimum(pos + h, n)].astype(U64)
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         pos, pair = pos[order], pair[order]
         sa[open_at] = pos
         new = np.ones(len(pos), bool)
@@ -209,7 +209,8 @@ def merge_shards(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_windows(texts: list[bytes], multi: list[bool], length: int, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
     """Per region, for each of its windows, whether it occurs twice or more."""
-    shards, at, size = [[]], 0, 0
+    shards: list[list[int]] = [[]]
+    size = 0
     for k, t in enumerate(texts):
         if size and size + len(t) > shard_bytes:
             shards.append([])
@@ -241,11 +242,7 @@ def repeated_windows(texts: list[bytes], multi: list[bool], length: int, shard_b
             out[k] |= found[s : s + windows]
         if len(shards) > 1:
             pos, windows_sorted = _windows_by_order(sa, weight, text, length)
-            owner = np.repeat([k for k, _, _ in bounds], [c for _, _, c in bounds])
-            place = np.concatenate([np.arange(s, s + c) for _, s, c in bounds])
-            back = {int(p): (int(k), int(p - s)) for (k, s, c) in bounds for p in range(s, s + c)}
-            assert len(owner) == len(place) == len(back)
-            ordered.append((pos, windows_sorted, back))
+            ordered.append((pos, windows_sorted, {p: (k, p - s) for k, s, c in bounds for p in range(s, s + c)}))
     for x in range(len(ordered)):
         for y in range(x + 1, len(ordered)):
             for hit, (pos, _, back) in zip(merge_shards(ordered[x][1], ordered[y][1]), (ordered[x], ordered[y]), strict=True):
@@ -263,7 +260,7 @@ def _shard_runner(length: int, shard_bytes: int):
         import pyarrow as pa
 
         def solve(rows):
-            masks = repeated_windows([r[3] for r in rows], [r[2] for r in rows], length, max(shard_bytes, 0))
+            masks = repeated_windows([r[3] for r in rows], [r[2] for r in rows], length, shard_bytes)
             kept = [(r[0], r[1], int(m.argmax()), len(m) - 1 - int(m[::-1].argmax()) + length) for r, m in zip(rows, masks, strict=True) if m.any()]
             return pa.RecordBatch.from_arrays([pa.array([k[c] for k in kept], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["h", "rh", "from", "to"])
 
@@ -289,6 +286,8 @@ def _cutter(length: int):
     def run(batches):
         import pyarrow as pa
 
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+        names = ["h", "rh", "multi", "kinds", "bytes"]
         for b in batches:
             rows: list[tuple] = []
             size = 0
@@ -298,14 +297,11 @@ def _cutter(length: int):
                     rows.append((p["h"], p["rh"], p["multi"], p["kinds"], data[p["at"] : p["at"] + p["windows"] + length - 1].to_pybytes()))
                     size += length
                 if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), CUT, strict=True)], ["h", "rh", "multi", "kinds", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), CUT, strict=True)], ["h", "rh", "multi", "kinds", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    import pyarrow as pa
-
-    CUT = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
     return run
 
 
@@ -331,21 +327,21 @@ def _runs(length: int, gram: int):
         import pyarrow as pa
 
         for b in batches:
+            parts: list[tuple] = []
             for h, rh, multi, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 text, total, down = _prefix(data.as_py())
                 n = len(text) - length + 1
                 grams = mix((total[gram:] - total[:-gram]) * down[: len(text) - gram + 1]).view(np.int64)
-                anchor = int(np.flatnonzero(grams == h)[0])
-                number = np.unique((anchor - np.arange(n)) // RUN)
+                anchor = int((grams == h).argmax())
+                number = np.arange((anchor - n + 1) // RUN, anchor // RUN + 1)
                 near = anchor - RUN * number  # the window nearest to the anchor, and the farthest
                 first, last = np.maximum(near - RUN + 1, 0), np.minimum(near, n - 1)
                 q1, q2 = _hashes(total, down, first, last + length, (number * RUN + (last - first)) * RUN + (near - last))
                 c, _ = _hashes(total, down, near, near - RUN + 1 + length, number)
                 m = len(number)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, h)), pa.array(np.full(m, rh)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(np.full(m, multi)), pa.array(q1), pa.array(q2), pa.array(c)],
-                    ["h", "rh", "first", "last", "multi", "q1", "q2", "c"],
-                )
+                parts.append((np.full(m, h), np.full(m, rh), first.astype(np.int32), last.astype(np.int32), np.full(m, multi), q1, q2, c))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["h", "rh", "first", "last", "multi", "q1", "q2", "c"])
 
     return run
 
@@ -409,7 +405,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     # classes with two places or more; copies of a text are one place
     place = F.xxhash64("t1", "t2", "at")
     classes = occurrences.select("h", place.alias("place")).groupBy("h").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low != high").select("h")
-    often = occurrences.join(classes, "h").groupBy("h", "rh", "t1", "t2", "at", "windows").agg(F.min("owner").alias("owner"))
+    often = occurrences.join(exchanged(classes, "h"), "h").groupBy("h", "rh", "t1", "t2", "at", "windows").agg(F.min("owner").alias("owner"))
     often = materialize(often, "places")
     free_shuffles(spark)
 
@@ -417,7 +413,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     regions = often.groupBy("h", "rh").agg(F.min(F.struct("t1", "t2", "at", "windows", "owner")).alias("rep"), F.count(F.lit(1)).alias("n"))
     regions = materialize(regions.select("h", "rh", (F.col("n") > 1).alias("multi"), "rep.*"), "regions")
     kinds = regions.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
-    picks = regions.join(kinds, "h").groupBy("t1", "t2", "owner").agg(F.collect_list(F.struct("h", "rh", "at", "windows", "multi", "kinds")).alias("picks"))
+    picks = regions.join(exchanged(kinds, "h"), "h").groupBy("t1", "t2", "owner").agg(F.collect_list(F.struct("h", "rh", "at", "windows", "multi", "kinds")).alias("picks"))
     met = slim.select("t1", "t2", "owner", "text").join(picks, ["t1", "t2", "owner"]).dropDuplicates(["t1", "t2", "owner"])
     cut = materialize(met.select(F.col("text").cast("binary").alias("text"), "picks").mapInArrow(_cutter(length), "h long, rh long, multi boolean, kinds long, bytes binary"), "cut")
     release(regions)
