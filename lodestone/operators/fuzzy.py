@@ -9,7 +9,7 @@ from lodestone.functions.distance import alignment_distance, deletions, maybe_wi
 
 #: Up to so many tokens a band join over the dictionary is the cheaper plan; more
 #: tokens meet it by equality on deletion variants.
-BAND_TOKENS = 48
+BAND_TOKENS = 2
 
 
 def near_terms(tokens: DataFrame, terms: DataFrame, most: int, n_tokens: int | None = None, limit: int | None = None) -> DataFrame:
