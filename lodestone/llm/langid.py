@@ -11,7 +11,9 @@ Profiles come from a bounded sample, ``TRAIN_DOCS`` texts a language drawn by
 identifier hash, with counts summed in Spark. Prediction reads every whole text.
 
 Null texts and texts without a letter are ``und`` with score 0; so are all texts
-where nothing was learned. Rows with a null language or id teach nothing.
+where nothing was learned, as from an empty table. Rows with a null language or id
+teach nothing. Repeated rows teach once each and are predicted alike. Only the named
+columns are read, so other columns cannot clash; identifiers may be of any type.
 The score is 1 minus the distance over the largest possible one.
 """
 
@@ -72,10 +74,15 @@ def _count(batches):
 
 
 def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, top: int = TOP) -> dict[str, np.ndarray]:
-    """Profiles {language: n-grams by rank} from the rows where ``train`` holds."""
+    """Profiles {language: n-grams by rank} from the rows where ``train`` holds.
+
+    Languages are counted without their texts; their shares (a row a language, as
+    the profiles themselves) are broadcast, so the draw needs no shuffle and only
+    drawn texts are counted."""
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), train.alias("train")).where("train AND lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
-    shares = usable.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(float(train_docs)) / F.col("count")).alias("share"))
-    drawn = usable.join(shares, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    shares = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", F.least(F.lit(1.0), F.lit(float(train_docs)) / F.col("n")).alias("share"))
+    draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
+    drawn = usable.join(F.broadcast(shares), "lang").where(draw < F.col("share") * 1_000_000)
     counts = drawn.select("lang", "text").mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     rows = counts.withColumn("place", place).where(F.col("place") <= top).collect()  # top rows a language
