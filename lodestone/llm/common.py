@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from functools import reduce
@@ -16,7 +15,10 @@ from pyspark.sql import types as T
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dir: list[str] = []
+_results: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,15 +51,41 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(conf).delete(target, True)
 
 
+def _sweep() -> None:
+    for path, spark in list(_results.items()):
+        try:
+            delete_path(spark, path)
+        except Exception:  # noqa: BLE001, S110 - the session has ended before the program
+            pass
+
+
+def result(df: DataFrame, label: str, *used: DataFrame) -> DataFrame:
+    """Write an operator's result, then delete the tables that it was made of. The
+    result's own files stay until ``release`` or the end of the program."""
+    out = materialize(df, label)
+    for x in used:
+        release(x)
+    if not _results:
+        atexit.register(_sweep)
+    _results[out._lodestone_path] = df.sparkSession  # type: ignore[attr-defined]
+    return out
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The lineage ends at replicated files, so a lost executor costs only the
-    tasks that it ran; nothing is computed twice.
+    tasks that it ran; nothing is computed twice. The write's own shuffle files are
+    removed at its end, which nothing can ask for again.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path  # type: ignore[attr-defined]
     return out
@@ -67,6 +95,7 @@ def release(df: DataFrame) -> None:
     """Delete the files behind a materialized frame that no later step reads."""
     path = getattr(df, "_lodestone_path", None)
     if path:
+        _results.pop(path, None)
         delete_path(df.sparkSession, path)
 
 
@@ -77,11 +106,14 @@ def exchanged(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumns({k: F.greatest(k, k) for k in keys})
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files of finished jobs: it acts when the
-    driver's JVM collects their handles, which may otherwise take half an hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def row_tie(columns: list[str]) -> Column:
+    """A number that depends on all of a row's columns, to choose among repeated rows."""
+    return F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])))
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that none of their names can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def lower_ascii(col: Column) -> Column:

@@ -9,22 +9,28 @@ A byte goes if a ``length``-byte string that covers it also starts anywhere else
 2. Regions of classes with one occurrence only are dropped; equal regions of a
    class collapse to one with a repeat mark. Copies of a whole text are counted
    once by text digest, and a text with copies is repeated throughout.
-3. Shards. Whole classes fill shards of about ``SHARD_BYTES``; each shard gets a
-   suffix array (Larsson-Sadakane refinement: only unsorted groups are sorted
-   again, at twice the depth) and its common prefixes (Kasai's walk, many
-   stretches of the text at once). Runs of suffixes that agree in ``length``
-   bytes and hold two window starts are repeated. A class beyond one shard is
-   cut into several, merged pairwise by binary search of their sorted windows.
-4. Classes of more than ``CLASS_REGIONS`` different regions (a frequent passage in
-   ever new surroundings) are cut into runs of ``RUN`` windows at equal distances
-   from the anchor. Runs that occur once and whose common core occurs once are
-   dropped by hash; equal runs, and single windows of runs with a shared core, are
-   the regions of further shards.
+3. Shards. The regions, in order of their class, are the text of the shards: every
+   ``SHARD_BYTES`` of it, wherever a class may end, get a suffix array (Larsson-Sadakane
+   refinement: only unsorted groups are sorted again, at twice the depth) and its
+   common prefixes (Kasai's walk, many stretches of the text at once). Runs of
+   suffixes that agree in ``length`` bytes and hold two window starts are repeated.
+   A class that lies in several shards is merged across them: the sorted windows of
+   each further shard are looked up in those merged so far, and the other way round,
+   by binary search. This decides all classes of up to ``CLASS_REGIONS`` different
+   regions, on their bytes.
+4. Larger classes (a very frequent passage in ever new surroundings) are cut into runs
+   of ``RUN`` windows at equal distances from the anchor. Runs that occur once and
+   whose common core occurs once are dropped by hash; equal runs, and single windows of
+   runs with a shared core, go to further shards with the smallest and the largest
+   place of each, which must agree on their bytes there. Other places of such a run
+   are told equal by its 128-bit hash.
 
 All windows of a region overlap, so what its repeated windows cover is one range.
-Every task streams; it holds one shard, or one text. Null texts are empty; texts
-under ``length`` bytes lose nothing. Repeated rows are copies of each other.
-Region and window identities are 128-bit hashes; matches are decided on bytes.
+Every task streams; it holds the regions of ``HOLD_BYTES`` and one class, or one text.
+Null texts are empty; texts under ``length`` bytes lose nothing. Repeated rows are
+copies of each other. Identifiers may be of any type, null included. An empty table
+gives no rows. Only the named columns are read, so other columns cannot clash. Region
+identities are 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,12 +41,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import _BASE, _M1, U64, _power_tables, exchanged, free_shuffles, materialize, mix, release, text_blocks, utf8_length
+from lodestone.llm.common import _BASE, _M1, U64, _power_tables, exchanged, materialize, mix, release, result, text_blocks, utf8_length
 
 LENGTH = 200
 GRAM = 32
-SHARD_BYTES = 1 << 20
-CLASS_REGIONS = 256
+#: Text of one suffix array: small enough for the processor's cache.
+SHARD_BYTES = 1 << 17
+#: Text that a task gathers before it cuts it into shards.
+HOLD_BYTES = 1 << 20
+CLASS_REGIONS = 2048
 RUN = 4
 PIECE = 1 << 20
 LANES = 16384
@@ -190,13 +199,6 @@ def common_prefixes(keys: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def _windows_by_order(sa: np.ndarray, start_of: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Window starts in suffix order and their bytes."""
-    pos = sa[start_of[sa] > 0]
-    view = np.lib.stride_tricks.sliding_window_view(text, length)[pos]
-    return pos, np.ascontiguousarray(view).view(f"S{length}").ravel()
-
-
 def merge_shards(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which windows of two sorted shards occur in the other, by binary search."""
     if not len(a) or not len(b):
@@ -207,8 +209,23 @@ def merge_shards(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return b[back] == a, in_a
 
 
-def repeated_windows(texts: list[bytes], multi: list[bool], length: int, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
-    """Per region, for each of its windows, whether it occurs twice or more."""
+def merge_class(shards: list[tuple[np.ndarray, np.ndarray]], repeated: np.ndarray) -> None:
+    """Mark in ``repeated`` the windows of one class that several of its shards hold.
+    A shard is (windows in order, their numbers)."""
+    held, numbers = shards[0]
+    for windows, own in shards[1:]:
+        in_b, in_a = merge_shards(held, windows)
+        repeated[numbers[in_b]] = True
+        repeated[own[in_a]] = True
+        fresh = ~in_a
+        at = np.searchsorted(held, windows[fresh])
+        held, numbers = np.insert(held, at, windows[fresh]), np.insert(numbers, at, own[fresh])
+
+
+def repeated_windows(texts: list[bytes], multi: list[bool], length: int, shard_bytes: int = SHARD_BYTES, classes: list[int] | None = None) -> list[np.ndarray]:
+    """Per region, for each of its windows, whether it occurs twice or more in its
+    class. Regions come in order of their class; without classes they are one."""
+    classes = [0] * len(texts) if classes is None else classes
     shards: list[list[int]] = [[]]
     size = 0
     for k, t in enumerate(texts):
@@ -217,50 +234,53 @@ def repeated_windows(texts: list[bytes], multi: list[bool], length: int, shard_b
             size = 0
         shards[-1].append(k)
         size += len(t)
-    out = [np.zeros(max(0, len(t) - length + 1), bool) for t in texts]
-    ordered = []
+    counts = [max(0, len(t) - length + 1) for t in texts]
+    offsets = np.concatenate(([0], np.cumsum(counts)))
+    repeated = np.zeros(offsets[-1], bool)
+    ends = {classes[s[-1]] for s, after in zip(shards, shards[1:], strict=False) if classes[s[-1]] == classes[after[0]]}
+    split: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {c: [] for c in ends}
     for shard in shards:
+        if not shard:
+            continue
         text = np.frombuffer(b"".join(texts[k] for k in shard), np.uint8)
         n = len(text)
         keys = packed(text, 2 * length + 16)
         sa = suffix_array(keys, n)
         shared = common_prefixes(keys, sa, length)
         weight = np.zeros(n, np.int64)
-        bounds = []
+        number = np.full(n, -1, np.int64)
         at = 0
+        spans: dict[int, tuple[int, int]] = {}
         for k in shard:
-            windows = len(out[k])
-            weight[at : at + windows] = 2 if multi[k] else 1
-            bounds.append((k, at, windows))
+            weight[at : at + counts[k]] = 2 if multi[k] else 1
+            number[at : at + counts[k]] = np.arange(offsets[k], offsets[k + 1])
+            spans[classes[k]] = (spans.get(classes[k], (at, 0))[0], at + len(texts[k]))
             at += len(texts[k])
-        run = np.cumsum(shared[sa] < length) - 1 if n else np.empty(0, np.int64)
-        run -= run[0] if n else 0
+        # neighbours in order that agree in ``length`` bytes; equal windows are of one class
+        run = np.cumsum(shared[sa] < length)
         often = np.bincount(run, weights=weight[sa]) >= 2
-        found = np.zeros(n, bool)
-        found[sa] = often[run]
-        for k, s, windows in bounds:
-            out[k] |= found[s : s + windows]
-        if len(shards) > 1:
-            pos, windows_sorted = _windows_by_order(sa, weight, text, length)
-            ordered.append((pos, windows_sorted, {p: (k, p - s) for k, s, c in bounds for p in range(s, s + c)}))
-    for x in range(len(ordered)):
-        for y in range(x + 1, len(ordered)):
-            for hit, (pos, _, back) in zip(merge_shards(ordered[x][1], ordered[y][1]), (ordered[x], ordered[y]), strict=True):
-                for p in pos[hit]:
-                    k, window = back[int(p)]
-                    out[k][window] = True
-    return out
-
-
-def _shard_runner(length: int, shard_bytes: int):
+        found = sa[often[run]]
+        repeated[number[found][number[found] >= 0]] = True
+        for c, (start, end) in spans.items():
+            if c in split:
+                pos = sa[(sa >= start) & (sa < end)]
+                pos = pos[number[pos] >= 0]
+                windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, length)[pos]).view(f"S{length}").ravel()
+                split[c].append((windows, number[pos]))
+    for parts in split.values():
+        merge_class(parts, repeated)
+    return [repeated[offsets[k] : offsets[k + 1]] for k in range(len(texts))]
+
+
+def _shard_runner(length: int, shard_bytes: int, hold_bytes: int = HOLD_BYTES):
     """(h, rh, multi, bytes) sorted by h to (h, rh, from, to): the covered range of
-    each region with a repeated window."""
+    each region with a repeated window. Classes come whole."""
 
     def run(batches):
         import pyarrow as pa
 
         def solve(rows):
-            masks = repeated_windows([r[3] for r in rows], [r[2] for r in rows], length, shard_bytes)
+            masks = repeated_windows([r[3] for r in rows], [r[2] for r in rows], length, shard_bytes, [r[0] for r in rows])
             kept = [(r[0], r[1], int(m.argmax()), len(m) - 1 - int(m[::-1].argmax()) + length) for r, m in zip(rows, masks, strict=True) if m.any()]
             return pa.RecordBatch.from_arrays([pa.array([k[c] for k in kept], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["h", "rh", "from", "to"])
 
@@ -268,7 +288,7 @@ def _shard_runner(length: int, shard_bytes: int):
         size = 0
         for b in batches:
             for h, rh, multi, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-                if size >= shard_bytes // 2 and held[-1][0] != h:
+                if size >= hold_bytes and held[-1][0] != h:
                     yield solve(held)
                     held, size = [], 0
                 value = data.as_py()
@@ -396,18 +416,18 @@ def _remover(batches):
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", class_regions: int = CLASS_REGIONS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per row: id column, n_bytes, n_removed, n_spans, kept_sha256 and spans (the
     removed byte ranges [from, to, ...])."""
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), F.xxhash64(F.col(id_col)).alias("owner"), text.alias("text"), F.col(id_col).alias("id"))
     id_type = dict(slim.dtypes)["id"]
-    occurrences = slim.select("t1", "t2", "owner", "text").mapInArrow(_regions(length, gram), "h long, rh long, t1 long, t2 long, owner long, at long, windows int")
+    cut = slim.select("t1", "t2", "owner", "text").mapInArrow(_regions(length, gram), "h long, rh long, t1 long, t2 long, owner long, at long, windows int")
+    occurrences = materialize(cut, "occurrences")
 
     # classes with two places or more; copies of a text are one place
     place = F.xxhash64("t1", "t2", "at")
     classes = occurrences.select("h", place.alias("place")).groupBy("h").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low != high").select("h")
     often = occurrences.join(exchanged(classes, "h"), "h").groupBy("h", "rh", "t1", "t2", "at", "windows").agg(F.min("owner").alias("owner"))
     often = materialize(often, "places")
-    free_shuffles(spark)
+    release(occurrences)
 
     # one text to cut each different region from
     regions = often.groupBy("h", "rh").agg(F.min(F.struct("t1", "t2", "at", "windows", "owner")).alias("rep"), F.count(F.lit(1)).alias("n"))
@@ -417,7 +437,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     met = slim.select("t1", "t2", "owner", "text").join(picks, ["t1", "t2", "owner"]).dropDuplicates(["t1", "t2", "owner"])
     cut = materialize(met.select(F.col("text").cast("binary").alias("text"), "picks").mapInArrow(_cutter(length), "h long, rh long, multi boolean, kinds long, bytes binary"), "cut")
     release(regions)
-    free_shuffles(spark)
 
     shards = cut.where(F.col("kinds") <= class_regions).select("h", "rh", "multi", "bytes").repartition("h").sortWithinPartitions("h")
     covered = "h long, rh long, `from` int, `to` int"
@@ -451,13 +470,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     ranges = materialize(ranges, "ranges")
     for x in (cut, runs, full, singles):
         release(x)
-    free_shuffles(spark)
     placed = often.select("h", "rh", "t1", "t2", "at").join(ranges, ["h", "rh"]).select("t1", "t2", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to"))
     copies = slim.select("t1", "t2", utf8_length(F.col("text")).alias("n")).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")).where((F.col("copies") > 1) & (F.col("n") >= length)).select("t1", "t2", F.lit(0).cast("long").alias("from"), F.col("n").alias("to"))
     per_text = placed.union(copies).groupBy("t1", "t2").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
     per_text = materialize(per_text, "removals")
     release(often)
     release(ranges)
-    free_shuffles(spark)
     out = slim.select("t1", "t2", "id", F.col("text").cast("binary").alias("text")).join(per_text, ["t1", "t2"], "left").select("id", "text", "ranges")
-    return out.mapInArrow(_remover, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<bigint>").withColumnRenamed("id", id_col)
+    spans = out.mapInArrow(_remover, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<bigint>").withColumnRenamed("id", id_col)
+    return result(spans, "spans", per_text)
