@@ -21,6 +21,10 @@ class JobNotFound(LodestoneError):
     code = "JOB_NOT_FOUND"
 
 
+class JobCancelled(LodestoneError):
+    code = "JOB_CANCELLED"
+
+
 class SameName(LodestoneError):
     code = "SAME_NAME"
 

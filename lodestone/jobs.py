@@ -13,7 +13,7 @@ from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.errors import JobNotFound
+from lodestone.errors import JobCancelled, JobNotFound
 from lodestone.operators.jobstats import FINISHED, JOB_SCHEMA, KEPT_DURATIONS
 
 
@@ -59,6 +59,7 @@ class JobManager:
         self._jobs: dict[str, Job] = {}
         self._futures: dict[str, Future] = {}
         self._durations: dict[str, deque] = {}
+        self._stopped: set[str] = set()
         self._created = self._completed = self._failed = 0
 
     def create(self, kind: str, index_name: str, metadata: dict[str, str] | None = None) -> str:
@@ -71,21 +72,39 @@ class JobManager:
         return job.id
 
     def run(self, job_id: str, work: Callable[[Callable[[int, int, str], None]], None], spark: SparkSession | None = None) -> None:
-        """``work`` gets a function that reports progress."""
+        """``work`` gets a function that reports progress, and that ends the job
+        where it was cancelled. Its Spark jobs form a group, which ``cancel`` stops."""
+
+        def report(current: int, total: int, message: str = "") -> None:
+            if job_id in self._stopped:
+                raise JobCancelled(job_id)
+            self.progress(job_id, current, total, message)
 
         def body() -> None:
             if spark is not None:
                 spark.sparkContext.setLocalProperty("spark.scheduler.pool", self._jobs[job_id].type)
+                spark.sparkContext.setJobGroup(job_id, self._jobs[job_id].type, True)
             self._set(job_id, "running")
             try:
-                work(lambda current, total, message="": self.progress(job_id, current, total, message))
+                work(report)
             except Exception as e:  # noqa: BLE001
-                self._set(job_id, "failed", str(e))
+                self._set(job_id, "cancelled" if job_id in self._stopped else "failed", str(e))
             else:
                 self._set(job_id, "completed")
 
         self._futures[job_id] = self._pool.submit(body)
 
+    def cancel(self, job_id: str, spark: SparkSession | None = None) -> None:
+        """A job that waits never starts; one that runs ends at its next step, or
+        at once where Spark works for it. A write that is not committed leaves no trace."""
+        self.get(job_id)
+        self._stopped.add(job_id)
+        future = self._futures.get(job_id)
+        if future is not None and future.cancel():
+            self._set(job_id, "cancelled")
+        elif spark is not None:
+            spark.sparkContext.cancelJobGroup(job_id)
+
     def _set(self, job_id: str, status: str, error: str = "") -> None:
         """J10."""
         with self._lock:
@@ -121,7 +140,7 @@ class JobManager:
 
     def wait(self, job_id: str, timeout: float | None = None) -> Job:
         future = self._futures.get(job_id)
-        if future is not None:
+        if future is not None and not future.cancelled():
             future.result(timeout)
         return self.get(job_id)
 
@@ -131,6 +150,7 @@ class JobManager:
         for k in [k for k, j in self._jobs.items() if j.status in FINISHED and j.completed_at and j.completed_at < limit]:
             self._jobs.pop(k)
             self._futures.pop(k, None)
+            self._stopped.discard(k)
 
     def metrics(self) -> dict:
         """J6-J9, J12."""

@@ -52,11 +52,12 @@ def dictionary(vocab: DataFrame, settings: IndexSettings) -> DataFrame:
     return prefix_map(vocab, settings).select(F.col("prefix").alias("term")).distinct()
 
 
-def lookup_term(postings: DataFrame, vocab: DataFrame, settings: IndexSettings, term: str) -> DataFrame:
-    """The posting list of an index key; prefix fields score 1. Ordered by
-    score, document and field (M6) only when it is shown."""
-    hits = prefix_map(vocab, settings).where(F.col("prefix") == term).select("field", "term")
-    found = postings.join(F.broadcast(hits), ["field", "term"])
+def lookup_term(postings: DataFrame, settings: IndexSettings, term: str) -> DataFrame:
+    """The posting list of an index key; prefix fields score 1. The key reaches
+    the scan, as the words of prefix fields that begin with it do. Ordered by score,
+    document and field (M6) only when it is shown."""
+    reach = (F.col("term") == term) | (F.col("field").isin(list(settings.prefix_fields)) & F.col("term").startswith(term)) if settings.prefix_fields and term else F.col("term") == term
+    found = postings.where(reach)
     wide = F.col("field").isin(list(settings.prefix_fields)) if settings.prefix_fields else F.lit(False)
     return found.groupBy(ID, "field").agg(F.max(F.when(wide, F.lit(1.0)).otherwise(F.col("tf").cast("double"))).alias("score"))
 
@@ -74,11 +75,13 @@ def replace_documents(old: DataFrame, ids: DataFrame, new: DataFrame | None) ->
 
 
 def last_version(docs: DataFrame, order: Column | None = None) -> DataFrame:
-    """I4 within a batch: one row per documentID, the last by ``order``."""
-    if order is None:
-        return docs.dropDuplicates([ID])
-    rank = F.row_number().over(Window.partitionBy(ID).orderBy(order.desc()))
-    return docs.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """I4 within a batch: one row per documentID, the last by ``order``, and among
+    equal ones (or without an order) the last in row order. The rank limit runs before
+    the shuffle too."""
+    placed = docs.withColumn("_place", F.monotonically_increasing_id())
+    keys = [F.col("_place").desc()] if order is None else [order.desc_nulls_last(), F.col("_place").desc()]
+    rank = F.row_number().over(Window.partitionBy(ID).orderBy(*keys))
+    return placed.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_place")
 
 
 def clean_documents(docs: DataFrame, id_col: str = ID) -> tuple[DataFrame, DataFrame]:

@@ -71,6 +71,9 @@ class IndexSettings:
             raise InvalidInput(found)
         return self.with_defaults()
 
+    def to_dict(self) -> dict[str, Any]:
+        return json.loads(self.to_json())
+
     def to_json(self) -> str:
         return json.dumps(asdict(self))
 

@@ -1,4 +1,4 @@
-"""Document and event sources and sinks."""
+"""Document and event sources, and the JSON sink."""
 
 from __future__ import annotations
 
@@ -39,25 +39,11 @@ def read_json(spark: SparkSession, path: str, schema=None, multi_line: bool = Tr
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Events from Parquet, or an empty table where nothing was written yet."""
-    from lodestone.sources.files import Files
-
-    if not Files(spark, path).exists(path):
-        return spark.createDataFrame([], EVENT_SCHEMA)
-    return spark.read.schema(EVENT_SCHEMA).parquet(path)
-
-
 def read_events_json(spark: SparkSession, path: str) -> DataFrame:
     """S10 from a JSON array file."""
     return spark.read.schema(EVENT_SCHEMA).json(path, multiLine=True)
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """A1, K3: append; nothing already written is rewritten."""
-    events.select("index_name", "query", "search_type", F.col("response_time").cast("long").alias("response_time"), F.col("result_count").cast("int").alias("result_count"), "timestamp").write.mode("append").parquet(path)
-
-
 def to_json_lines(df: DataFrame) -> DataFrame:
     """K5: each row as a JSON object."""
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))

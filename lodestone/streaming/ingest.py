@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.operators.analytics import average_ms
-from lodestone.operators.index import clean_documents, last_version
+from lodestone.operators.index import clean_documents
 from lodestone.sources.store import IndexStore
 
 
@@ -19,7 +19,7 @@ def stream_into_index(documents: DataFrame, store: IndexStore, checkpoint: str,
 
     def apply(batch: DataFrame, _: int) -> None:
         valid, _rejected = clean_documents(batch)
-        store.upsert(last_version(valid, F.col(order) if order else None))
+        store.upsert(valid, order)
 
     return documents.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
