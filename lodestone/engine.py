@@ -9,22 +9,23 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import functions as F
 
 from lodestone.errors import DocumentNotFound, IndexExists, IndexNotFound, InvalidInput, SameName
-from lodestone.functions.text import search_type
+from lodestone.functions.text import search_type_of
 from lodestone.jobs import Job, JobManager
 from lodestone.operators import analytics
 from lodestone.operators.index import ID, clean_documents, find_document, list_documents
 from lodestone.operators.rank import project
-from lodestone.plans.search import HIT_COLUMNS, search
+from lodestone.plans.search import fetch_documents, search, search_pages
 from lodestone.settings import IndexSettings, SearchQuery, needs_reindex, page_bounds, patch_settings, validate_name, validate_rename
-from lodestone.sources.documents import append_events, from_records, parse_body, read_events
+from lodestone.sources.documents import from_records, parse_body
+from lodestone.sources.events import EventSink
 from lodestone.sources.store import IndexStore, load_indexes, table_sizes
 
 MAX_LIST_PAGE = 100
@@ -53,12 +54,7 @@ class Index:
         if bad:
             raise InvalidInput(bad)
 
-        def work(progress: Callable) -> None:
-            progress(0, 1, "writing a segment")
-            self.store.upsert(valid)
-            progress(1, 1, "documents are searchable")
-
-        return self.engine._job("add_documents", self.name, work, wait)
+        return self.engine._job("add_documents", self.name, lambda progress: self.store.upsert(valid, progress=progress), wait)
 
     def delete(self, ident: str, wait: bool = False) -> str:
         """A missing document makes the job fail."""
@@ -67,7 +63,7 @@ class Index:
         def work(_: Callable) -> None:
             if find_document(self.store.docs(), ident).isEmpty():
                 raise DocumentNotFound(ident)
-            self.store.delete(self.engine.spark.createDataFrame([(ident,)], f"{ID} string"))
+            self.store.delete([ident])
 
         return self.engine._job("delete_document", self.name, work, wait)
 
@@ -123,12 +119,14 @@ class Index:
     def search_frame(self, queries: list[SearchQuery]) -> DataFrame:
         return search(self.store.tables(), queries)
 
-    def search(self, query: SearchQuery | dict | str) -> dict[str, Any]:
-        """Q1-Q22, Q24, Q25, A1: one search as a result object."""
+    def search(self, query: SearchQuery | dict | str, tag: str | None = None) -> dict[str, Any]:
+        """Q1-Q22, Q24, Q25, A1: one search as a result object (M12, M13). A search can
+        be stopped from another thread by ``Engine.cancel_searches`` with its tag."""
         q = SearchQuery(query) if isinstance(query, str) else SearchQuery.from_dict(query) if isinstance(query, dict) else query
-        return self._run([q], [""])[0]
+        with self.engine._tagged(tag):
+            return self._run([q], [""])[0]
 
-    def multi_search(self, queries: list[SearchQuery | dict], page: int = 1, page_size: int = 10) -> dict[str, Any]:
+    def multi_search(self, queries: list[SearchQuery | dict], page: int = 1, page_size: int = 10, tag: str | None = None) -> dict[str, Any]:
         """Named queries, one Spark plan; page and size are shared."""
         start = time.time()
         parsed = [SearchQuery.from_dict(q) if isinstance(q, dict) else q for q in queries]
@@ -138,22 +136,27 @@ class Index:
         if any(not n.strip() for n in names) or len(set(names)) < len(names):
             raise InvalidInput("query names must be unique and not blank")
         shared = [SearchQuery(**{**q.__dict__, "page": page, "page_size": page_size}) for q in parsed]
-        results = self._run(shared, names, MULTI_SEARCH)
+        with self.engine._tagged(tag):
+            results = self._run(shared, names, MULTI_SEARCH)
         return {"results": dict(zip(names, results, strict=True)), "total_queries": len(parsed), "processing_time_ms": (time.time() - start) * 1000}
 
     def _run(self, queries: list[SearchQuery], names: list[str], kind: str | None = None) -> list[dict[str, Any]]:
+        """Pages first, then the documents that are on them; both are bounded."""
         start = time.time()
         page, size = page_bounds(queries[0].page, queries[0].page_size)
-        frame = self.search_frame(queries)
-        rows = frame.orderBy("qk", "rank").collect()  # at most one page a query
+        tables = self.store.tables()
+        rows = search_pages(tables, queries).orderBy("qk", "rank").collect()  # at most one page a query
+        shown = [set(project(tables.docs, q.retrievable_fields).columns) for q in queries]
+        columns = [c for c in tables.docs.columns if any(c in s for s in shown)]
+        ids = sorted({r[ID] for r in rows})
+        found = {r[ID]: r for r in fetch_documents(tables, ids, columns).collect()} if ids else {}
         took = time.time() - start
         out = []
         for k, q in enumerate(queries):
             own = [r for r in rows if r["qk"] == k]
-            kept = set(project(frame.select([c for c in frame.columns if c not in HIT_COLUMNS]), q.retrievable_fields).columns)
             hits = [
                 {
-                    "document": {c: r[c] for c in frame.columns if c in kept},
+                    "document": {c: found[r[ID]][c] for c in columns if c in shown[k]},
                     "field_matches": r["field_matches"],
                     "score": r["score"],
                     "hit_info": {"num_typos": r["num_typos"], "number_exact_words": r["number_exact_words"], "filter_score": r["filter_score"]},
@@ -167,7 +170,7 @@ class Index:
         return out
 
     def _total(self, query: SearchQuery) -> int:
-        first = self.search_frame([SearchQuery(**{**query.__dict__, "page": 1, "page_size": 1})]).first()
+        first = search_pages(self.store.tables(), [SearchQuery(**{**query.__dict__, "page": 1, "page_size": 1})]).first()
         return first["total"] if first else 0
 
 
@@ -178,10 +181,7 @@ class Engine:
         self.spark, self.data_dir, self.track = spark, data_dir.rstrip("/"), track
         self.jobs_manager = JobManager(workers)
         self.stores = load_indexes(spark, self.data_dir)
-
-    @property
-    def events_path(self) -> str:
-        return f"{self.data_dir}/.analytics/events"
+        self.sink = EventSink(spark, f"{self.data_dir}/.analytics/events")
 
     # --- jobs
 
@@ -206,8 +206,28 @@ class Engine:
     def wait(self, job_id: str, timeout: float | None = None) -> Job:
         return self.jobs_manager.wait(job_id, timeout)
 
+    def cancel_job(self, job_id: str) -> None:
+        """E10a."""
+        self.jobs_manager.cancel(job_id, self.spark)
+
+    @contextmanager
+    def _tagged(self, tag: str | None) -> Iterator[None]:
+        context = self.spark.sparkContext
+        if tag:
+            context.addJobTag(tag)
+        try:
+            yield
+        finally:
+            if tag:
+                context.removeJobTag(tag)
+
+    def cancel_searches(self, tag: str) -> None:
+        """Q23: stop the searches that run under ``tag``; they raise."""
+        self.spark.sparkContext.cancelJobsWithTag(tag)
+
     def close(self) -> None:
         self.jobs_manager.stop()
+        self.sink.close()
 
     # --- catalog
 
@@ -259,16 +279,14 @@ class Engine:
     # --- analytics
 
     def _track(self, index_name: str, queries: list[SearchQuery], totals: list[int], took: float, kind: str | None) -> None:
-        """A1, K3, Q25: one event a query."""
-        if not self.track:
-            return
-        now = datetime.now(UTC)
-        rows = [(index_name, q.query, kind or "", int(took * 1e9), t, now, bool(q.filters)) for q, t in zip(queries, totals, strict=True)]
-        frame = self.spark.createDataFrame(rows, "index_name string, query string, kind string, response_time long, result_count int, timestamp timestamp, filtered boolean")
-        append_events(frame.withColumn("search_type", F.when(F.col("kind") != "", F.col("kind")).otherwise(search_type(F.col("query"), F.col("filtered")))), self.events_path)
+        """A1, Q25: one event a query, into the sink's buffer."""
+        if self.track:
+            now = datetime.now(UTC)
+            self.sink.add([(index_name, q.query, kind or search_type_of(q.query, bool(q.filters)), int(took * 1e9), t, now) for q, t in zip(queries, totals, strict=True)])
 
     def events(self) -> DataFrame:
-        return read_events(self.spark, self.events_path)
+        """The latest 10 000 events, those in the buffer included."""
+        return self.sink.events()
 
     def analytics(self, now: datetime | None = None) -> dict[str, Any]:
         """A17."""

@@ -48,3 +48,13 @@ def deletions(token: Column, most: int) -> Column:
         step = F.array_distinct(F.flatten(F.transform(step, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t)))))))
         out = F.array_union(out, step)
     return out
+
+
+def deletions_of(token: str, most: int) -> list[str]:
+    """``deletions`` on the driver, for query tokens."""
+    found = {token}
+    step = {token}
+    for _ in range(most):
+        step = {t[:i] + t[i + 1 :] for t in step for i in range(max(1, len(t)))}
+        found |= step
+    return sorted(found)

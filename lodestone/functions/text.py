@@ -74,3 +74,13 @@ def search_type(query: Column, has_filters: Column) -> Column:
         .when((F.size(F.array_remove(F.split(query, r"\s+"), "")) == 1) & (F.octet_length(query) > 3), "fuzzy_search")
         .otherwise("exact_match")
     )
+
+
+def search_type_of(query: str, has_filters: bool) -> str:
+    """Q25 on the driver, for the event of a search."""
+    if has_filters or query == "":
+        return "filtered"
+    if "*" in query or "?" in query:
+        return "wildcard"
+    words = [w for w in re.split(r"[ \t\n\x0B\f\r]+", query) if w]
+    return "fuzzy_search" if len(words) == 1 and len(query.encode("utf-8")) > 3 else "exact_match"

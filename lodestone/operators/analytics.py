@@ -38,7 +38,7 @@ def average_ms(when: Column | None = None) -> Column:
     """Integer mean of nanoseconds, truncated to milliseconds; 0 without events."""
     value = F.col("response_time") if when is None else F.when(when, F.col("response_time"))
     total, n = F.sum(value), F.count(value)
-    return F.coalesce(F.floor(F.floor(total / F.nullif(n, F.lit(0))) / 1_000_000), F.lit(0)).cast("long")
+    return F.coalesce(F.call_function("div", F.call_function("div", total, F.nullif(n, F.lit(0))), F.lit(1_000_000)), F.lit(0)).cast("long")
 
 
 def change_percent(current: Column, previous: Column) -> Column:
@@ -54,7 +54,7 @@ def trend(current: Column, previous: Column) -> Column:
 
 def bucket(response_time: Column) -> Column:
     """Class of a response time."""
-    ms = F.floor(response_time / 1_000_000)
+    ms = F.call_function("div", response_time, F.lit(1_000_000))
     out = F.lit(BUCKETS[-1][1])
     for most, name in reversed(BUCKETS[:-1]):
         out = F.when(ms <= most, name).otherwise(out)

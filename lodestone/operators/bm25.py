@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.frames import any_equal
 from lodestone.functions.text import field_length
+from lodestone.operators.fuzzy import PROBES
 from lodestone.operators.index import ID, prefix_map, vocabulary
 from lodestone.settings import IndexSettings
 
@@ -38,15 +42,24 @@ def bm25_score(tf: Column, idf: Column, length: Column, average: Column, k1: flo
     return idf * tf * F.lit(k1 + 1) / (tf + norm)
 
 
+def _met(postings: DataFrame, settings: IndexSettings, tokens: list[str]) -> DataFrame:
+    """Postings that a token reaches, with the token: its own in whole-word fields,
+    those of longer words too in prefix fields. The tokens reach the scan."""
+    wide = F.col("field").isin(list(settings.prefix_fields)) if settings.prefix_fields else None
+    same = any_equal("term", tokens) if len(tokens) <= PROBES else F.col("term").isin(tokens)
+    if wide is None:
+        return postings.where(same).withColumn("token", F.col("term"))
+    begins = reduce(lambda a, b: a | b, (F.col("term").startswith(t) for t in tokens), F.lit(False))
+    reached = F.filter(F.array(*map(F.lit, tokens)), lambda t: (F.col("term") == t) | (wide & F.col("term").startswith(t)))
+    return postings.where(begins).withColumn("token", F.explode(reached))
+
+
 def bm25_scores(docs: DataFrame, postings: DataFrame, settings: IndexSettings, tokens: list[str], k1: float = K1, b: float = B, id_col: str = ID) -> DataFrame:
     """(documentID, token, bm25) for the given tokens; documents without a token are
     absent, which counts as 0. Term rows, corpus size and mean length (B4) are small
     and broadcast; documents meet postings once."""
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame([(t,) for t in sorted(set(tokens))], "token string")
     wide = list(settings.prefix_fields)
-    reach = prefix_map(vocabulary(postings), settings).join(F.broadcast(wanted), F.col("prefix") == F.col("token")).select("token", "term", "field")
-    met = postings.join(reach, ["term", "field"])
+    met = _met(postings, settings, sorted(set(tokens)))
     weight = F.when(F.col("field").isin(wide), F.lit(1)).otherwise(F.col("tf")) if wide else F.col("tf")
     per_field = met.groupBy(ID, "token", "field").agg(F.max(weight).alias("w"))
     tf = per_field.groupBy(ID, "token").agg(F.sum("w").cast("double").alias("tf"))
@@ -54,4 +67,5 @@ def bm25_scores(docs: DataFrame, postings: DataFrame, settings: IndexSettings, t
     lengths = document_lengths(docs, settings, id_col)
     corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average"))
     stats = F.broadcast(freq.crossJoin(corpus).select("token", inverse_frequency(F.col("n"), F.col("df")).alias("idf"), "average"))
-    return tf.join(lengths, ID).join(stats, "token").select(ID, "token", bm25_score(F.col("tf"), F.col("idf"), F.col("length"), F.col("average"), k1, b).alias("bm25"))
+    score = bm25_score(F.col("tf"), F.col("idf"), F.col("length"), F.col("average"), k1, b)
+    return tf.join(lengths, ID).join(stats, "token").select(ID, "token", score.alias("bm25"))

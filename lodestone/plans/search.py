@@ -1,22 +1,28 @@
-"""Batch search: any number of queries as one lazy plan (Q1-Q24).
+"""Batch search: any number of queries in one plan (Q1-Q24).
 
 queries -> tokens -> exact and fuzzy candidates -> index keys -> postings -> one row
-per (query, token, document) -> hits -> documents and filters -> rank -> distinct ->
-page. A single search is a batch of one.
+per (query, token, document) -> hits -> filters and ranks over the few columns that
+they need -> distinct -> page -> the page's documents. A single search is a batch of
+one. Over a stored index the candidates are found first, in the vocabulary and the
+stored variants; where there are at most ``RESOLVED`` of them the terms that they
+reach go to the postings scan as a predicate.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.errors import InvalidInput
-from lodestone.functions.text import tokenize, tokenize_text
+from lodestone.functions.frames import any_equal, local_frame
+from lodestone.functions.text import tokenize_text
 from lodestone.operators.filters import compile_filters
-from lodestone.operators.fuzzy import expansions
+from lodestone.operators.fuzzy import PROBES, expansions, near_stored, near_terms, open_to_typos
 from lodestone.operators.index import ID, build_postings, dictionary, prefix_map, vocabulary
 from lodestone.operators.rank import distinct_first, page_of, ranking_keys
 from lodestone.settings import IndexSettings, SearchQuery, page_bounds
@@ -24,16 +30,23 @@ from lodestone.settings import IndexSettings, SearchQuery, page_bounds
 HIT_COLUMNS = ("qk", "rank", "total", "score", "filter_score", "num_typos", "number_exact_words", "field_matches")
 #: Score factors of typo classes 1 and 2 (Q10).
 PENALTY = {1: 0.8, 2: 0.6}
+#: Up to so many candidate rows of a batch are looked up before the postings are read;
+#: more of them meet the postings in a join.
+RESOLVED = 20_000
+#: Up to so many rows the pages of a batch are broadcast to fetch their documents.
+BROADCAST_ROWS = 100_000
+REACH = "qk int, token string, cand string, cls int, field string, term string"
 
 
 @dataclass
 class IndexTables:
-    """The frames a search reads; ``vocab`` may be given where it is stored."""
+    """The frames a search reads; ``vocab`` and ``variants`` where they are stored."""
 
     docs: DataFrame
     postings: DataFrame
     settings: IndexSettings
     vocab: DataFrame | None = None
+    variants: DataFrame | None = None
 
     @staticmethod
     def of(docs: DataFrame, settings: IndexSettings, id_col: str = ID) -> IndexTables:
@@ -46,6 +59,19 @@ class IndexTables:
         return self.vocab if self.vocab is not None else vocabulary(self.postings)
 
 
+@dataclass(frozen=True)
+class Token:
+    """A distinct token of a query (Q1, Q4)."""
+
+    qk: int
+    token: str
+    times: int
+    wanted: int
+    fields: tuple[str, ...]
+    min1: int
+    min2: int
+
+
 def allowed_fields(settings: IndexSettings, query: SearchQuery) -> list[str]:
     """Q2."""
     for f in query.restrict_searchable_fields:
@@ -54,77 +80,112 @@ def allowed_fields(settings: IndexSettings, query: SearchQuery) -> list[str]:
     return list(query.restrict_searchable_fields or settings.searchable_fields)
 
 
-def query_tokens(index: IndexTables, queries: list[SearchQuery]) -> DataFrame:
-    """Q1, Q4: (qk, token, times, wanted, fields, min1, min2) per distinct token of
-    each query; queries without a token have no rows and so no hits."""
-    s = index.settings
-    rows = []
+def query_tokens(settings: IndexSettings, queries: list[SearchQuery]) -> list[Token]:
+    """Q1, Q4: the distinct tokens of every query; a query without a token has no
+    hits."""
+    out = []
     for k, q in enumerate(queries):
-        one = s.min_word_size_for_1_typo if q.min_word_size_for_1_typo is None else q.min_word_size_for_1_typo
-        two = s.min_word_size_for_2_typos if q.min_word_size_for_2_typos is None else q.min_word_size_for_2_typos
-        rows.append((k, q.query, allowed_fields(s, q), one, two))
-    raw = index.docs.sparkSession.createDataFrame(rows, "qk int, query string, fields array<string>, min1 int, min2 int")
-    tokens = raw.select("qk", "fields", "min1", "min2", F.size(F.array_distinct(tokenize(F.col("query")))).alias("wanted"), F.explode(tokenize(F.col("query"))).alias("token"))
-    return tokens.groupBy("qk", "token", "wanted", "fields", "min1", "min2").agg(F.count(F.lit(1)).alias("times"))
-
-
-def _reach(index: IndexTables, cands: DataFrame) -> DataFrame:
-    """(qk, token, cand, cls, field, term): the words that each candidate reaches. In
-    whole-word fields that is the candidate itself, without a look at the vocabulary."""
+        one = settings.min_word_size_for_1_typo if q.min_word_size_for_1_typo is None else q.min_word_size_for_1_typo
+        two = settings.min_word_size_for_2_typos if q.min_word_size_for_2_typos is None else q.min_word_size_for_2_typos
+        times = Counter(tokenize_text(q.query))
+        fields = tuple(allowed_fields(settings, q))
+        out += [Token(k, t, n, len(times), fields, one, two) for t, n in times.items()]
+    return out
+
+
+def candidates(index: IndexTables, tokens: list[Token]) -> DataFrame | None:
+    """Q4-Q7: fuzzy candidates (qk, token, cand, cls); none if no token may have typos."""
+    words = index.settings.non_typo_tolerant_words
+    free = [t for t in tokens if open_to_typos(t.token, t.min1, t.min2, words)]
+    if not free:
+        return None
+    spark = index.docs.sparkSession
+    distinct = sorted({t.token for t in free})
+    if index.variants is not None:
+        near = near_stored(distinct, index.variants, 2)
+    else:
+        near = near_terms(local_frame(spark, [(t,) for t in distinct], "token string"), dictionary(index.words, index.settings), 2, len(distinct))
+    rows = local_frame(spark, [(t.qk, t.token, t.min1, t.min2) for t in free], "qk int, token string, min1 int, min2 int")
+    return expansions(rows, near, words)
+
+
+def reach_of(index: IndexTables, tokens: list[Token], typos: bool) -> DataFrame | list[tuple]:
+    """Q2, Q3: (qk, token, cand, cls, field, term), the words that each candidate
+    reaches in the fields that its query may search. In whole-word fields that is the
+    candidate itself, without a look at the vocabulary. A list where a stored index
+    has at most ``RESOLVED`` candidates and rows, or where nothing is looked up."""
     s = index.settings
-    narrow = [f for f in s.searchable_fields if f not in s.prefix_fields]
-    columns = ["qk", "token", "cand", "cls", "field", "term"]
+    spark = index.docs.sparkSession
+    wide = set(s.prefix_fields)
+    closed = set(s.no_typo_tolerance_fields) if s.typo_field_exclusions else set()
+    fields = {t.qk: t.fields for t in tokens}
+    cands = [(t.qk, t.token, t.token, 0) for t in tokens]
+    fuzzy = candidates(index, tokens) if typos else None
+    stored = index.variants is not None
+    if stored and fuzzy is not None:
+        rows = fuzzy.limit(RESOLVED + 1).collect()  # bounded
+        if len(rows) <= RESOLVED:
+            cands, fuzzy = [*cands, *map(tuple, rows)], None
+    known = [(*c, f, c[2]) for c in cands for f in fields[c[0]] if f not in wide and (c[3] == 0 or f not in closed)]
+    flags = [(k, f, f in wide) for k, own in fields.items() for f in own]
+    allowed = F.broadcast(local_frame(spark, flags, "k int, f string, w boolean"))
+    ours = (F.col("qk") == F.col("k")) & ((F.col("cls") == 0) | ~F.col("f").isin(sorted(closed)) if closed else F.lit(True))
     parts = []
-    if narrow:
-        parts.append(cands.select("qk", "token", "cand", "cls", F.explode(F.array(*map(F.lit, narrow))).alias("field"), F.col("cand").alias("term")))
-    if s.prefix_fields:
-        wide = index.words.where(F.col("field").isin(list(s.prefix_fields)))
-        parts.append(prefix_map(wide, s).join(F.broadcast(cands), F.col("prefix") == F.col("cand")).select(columns))
+    if fuzzy is not None:
+        whole = fuzzy.join(allowed, ours & ~F.col("w"))
+        parts.append(whole.select("qk", "token", "cand", "cls", F.col("f").alias("field"), F.col("cand").alias("term")))
+    if wide and tokens:
+        every = local_frame(spark, cands, "qk int, token string, cand string, cls int")
+        every = every if fuzzy is None else every.unionByName(fuzzy)
+        words = index.words.where(F.col("field").isin(sorted(wide)))
+        heads = sorted({c[2] for c in cands})
+        if fuzzy is None and len(heads) <= PROBES:
+            words = words.where(reduce(lambda a, b: a | b, (F.col("term").startswith(h) for h in heads)))
+        met = prefix_map(words, s).join(every, F.col("prefix") == F.col("cand")).join(allowed, ours & (F.col("field") == F.col("f")))
+        met = met.select("qk", "token", "cand", "cls", "field", "term").distinct()
+        rows = met.limit(RESOLVED + 1).collect() if stored and fuzzy is None else None  # bounded
+        if rows is not None and len(rows) <= RESOLVED:
+            known += map(tuple, rows)
+        else:
+            parts.append(met)
     if not parts:
-        return cands.select("qk", "token", "cand", "cls", F.lit("").alias("field"), F.col("cand").alias("term")).limit(0)
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _pruned(postings: DataFrame, settings: IndexSettings, tokens: set[str]) -> DataFrame:
-    """Exact searches for few tokens give the scan the terms themselves: postings are
-    sorted by term, so most row groups are skipped."""
-    if settings.prefix_fields:
-        if len(tokens) > 16:
-            return postings
-        return postings.where(reduce(lambda a, b: a | b, (F.col("term").startswith(t) for t in sorted(tokens)), F.lit(False)))
-    return postings.where(F.col("term").isin(sorted(tokens))) if len(tokens) <= 1000 else postings
+        return known
+    return reduce(DataFrame.unionByName, [*parts, *([local_frame(spark, known, REACH)] if known else [])])
 
 
 def matches(index: IndexTables, queries: list[SearchQuery], typos: bool = True) -> DataFrame:
     """Q3-Q12, Q15-Q18: hits (qk, documentID, score, num_typos, number_exact_words,
     matched) of documents that match every token exactly or by a typo."""
     s = index.settings
-    qtok = query_tokens(index, queries)
-    n_tokens = len({t for q in queries for t in tokenize_text(q.query)})
-    cands = qtok.select("qk", "token", F.col("token").alias("cand"), F.lit(0).alias("cls"))
-    if typos:
-        cands = cands.unionByName(expansions(qtok.select("qk", "token", "min1", "min2"), dictionary(index.words, s), s.non_typo_tolerant_words, n_tokens))
-    reach = _reach(index, cands)
-    reach = reach.join(F.broadcast(qtok.select("qk", "token", "times", "wanted", "fields")), ["qk", "token"]).where(F.array_contains("fields", F.col("field")))
-    if s.typo_field_exclusions and s.no_typo_tolerance_fields:
-        reach = reach.where((F.col("cls") == 0) | ~F.col("field").isin(list(s.no_typo_tolerance_fields)))
-    postings = index.postings if typos else _pruned(index.postings, s, {t for q in queries for t in tokenize_text(q.query)})
-    met = postings.join(reach.drop("fields"), ["term", "field"])
+    spark = index.docs.sparkSession
+    tokens = query_tokens(s, queries)
+    reach = reach_of(index, tokens, typos)
+    postings = index.postings
+    if isinstance(reach, list):
+        terms = sorted({r[5] for r in reach})
+        postings = postings.where(any_equal("term", terms) if len(terms) <= PROBES else F.col("term").isin(terms))
+        reach = local_frame(spark, reach, REACH)
+    weights = local_frame(spark, [(t.qk, t.token, t.times, t.wanted) for t in tokens], "qk int, token string, times int, wanted int")
+    met = postings.join(reach.join(weights, ["qk", "token"]), ["term", "field"])
     wide = F.col("field").isin(list(s.prefix_fields)) if s.prefix_fields else F.lit(False)
     weight = F.when(wide, F.lit(1.0)).otherwise(F.col("tf").cast("double"))
     exact = F.col("cls") == 0
     # exact rows suppress typos; of the typos one posting survives: class, term, weight, field
     typo = F.when(~exact, F.struct("cls", "cand", (-weight).alias("less"), "field"))
-    per_token = met.groupBy("qk", "token", ID, "times", "wanted").agg(
-        F.max(F.when(exact, weight)).alias("exact"), F.min(typo).alias("typo"), F.collect_set(F.when(exact, F.col("field"))).alias("fields"), F.max(exact & (F.col("term") == F.col("token"))).alias("whole")
+    # dealt by query and document once, which serves both groupings
+    per_token = (
+        met.repartition("qk", ID)
+        .groupBy("qk", ID, "token", "times", "wanted")
+        .agg(F.max(F.when(exact, weight)).alias("exact"), F.min(typo).alias("typo"), F.collect_set(F.when(exact, F.col("field"))).alias("fields"), F.max(exact & (F.col("term") == F.col("token"))).alias("whole"))
     )
     is_exact = F.col("exact").isNotNull()
     penalty = F.when(F.col("typo.cls") == 1, PENALTY[1]).otherwise(PENALTY[2])
     value = F.when(is_exact, F.col("exact")).otherwise(-F.col("typo.less") * penalty)
-    labels = F.when(is_exact, F.transform("fields", lambda f: F.struct(f.alias("field"), F.col("token").alias("label")))).otherwise(F.array(F.struct(F.col("typo.field").alias("field"), F.concat("typo.cand", F.lit("(typo)")).alias("label"))))
+    typo_label = F.array(F.struct(F.col("typo.field").alias("field"), F.concat("typo.cand", F.lit("(typo)")).alias("label")))
+    labels = F.when(is_exact, F.transform("fields", lambda f: F.named_struct(F.lit("field"), f, F.lit("label"), F.col("token")))).otherwise(typo_label)
     hits = per_token.groupBy("qk", ID).agg(
         F.sum(value * F.col("times")).alias("score"),
-        F.count_distinct(F.when(~is_exact, F.col("typo.cand"))).cast("int").alias("num_typos"),
+        F.size(F.collect_set(F.when(~is_exact, F.col("typo.cand")))).alias("num_typos"),
         F.count_if(is_exact & F.col("whole")).cast("int").alias("number_exact_words"),
         F.array_sort(F.flatten(F.collect_list(labels))).alias("matched"),
         F.count(F.lit(1)).alias("found"),
@@ -139,29 +200,55 @@ def as_field_matches(matched: Column) -> Column:
     return F.map_from_arrays(fields, F.transform(fields, lambda f: F.array_sort(F.array_distinct(F.transform(F.filter(matched, lambda m: m["field"] == f), lambda m: m["label"])))))
 
 
-def search(index: IndexTables, queries: list[SearchQuery], typos: bool = True) -> DataFrame:
-    """The pages of all queries: HIT_COLUMNS, documentID and the document's columns.
-    Page and size are those of the first query (M14: they are shared)."""
+def _filter_fields(tree: dict[str, Any] | None) -> set[str]:
+    if not tree:
+        return set()
+    own = {f.get("field", "") for f in tree.get("filters") or ()}
+    return own.union(*(_filter_fields(g) for g in tree.get("groups") or ()))
+
+
+def search_pages(index: IndexTables, queries: list[SearchQuery], typos: bool = True) -> DataFrame:
+    """The pages of all queries without their documents: HIT_COLUMNS and documentID.
+    Page and size are those of the first query (M14: they are shared). Of a document
+    only the columns that filter, rank or tell duplicates apart are read; where there
+    are none, documents are not read at all."""
     if not queries:
         raise InvalidInput("at least one query is required")
     s = index.settings
     page, size = page_bounds(queries[0].page, queries[0].page_size)
     hits = matches(index, queries, typos)
-    joined = index.docs.join(hits, ID)
+    used = {c.field for c in s.ranking_criteria} | {s.distinct_field}
+    used = used.union(*(_filter_fields(q.filters) for q in queries))
+    needed = [c for c in index.docs.columns if c in used and c != ID and c not in HIT_COLUMNS]
+    found = index.docs.select(ID, *[F.col(f"`{c}`") for c in needed]).join(hits, ID) if needed else hits
     keep, points = F.lit(True), F.lit(0.0)
     for k, q in reversed(list(enumerate(queries))):
         if q.filters:
-            m, p = compile_filters(index.docs, q.filters, s.filterable_fields)
+            m, p = compile_filters(found, q.filters, s.filterable_fields)
             if len(queries) == 1:
                 keep, points = m, p
             else:
                 keep, points = F.when(F.col("qk") == k, m).otherwise(keep), F.when(F.col("qk") == k, p).otherwise(points)
-    found = joined.where(keep).withColumn("filter_score", points)
+    found = found.where(keep).withColumn("filter_score", points)
     keys = ranking_keys(found, s.ranking_criteria)
     if s.distinct_field:
         found = distinct_first(found, s.distinct_field, keys)
     totals = found.groupBy("qk").agg(F.count(F.lit(1)).alias("total"))
     paged = page_of(found, keys, page, size).join(F.broadcast(totals), "qk")
+    return paged.select("qk", "rank", "total", "score", "filter_score", "num_typos", "number_exact_words", as_field_matches(F.col("matched")).alias("field_matches"), ID)
+
+
+def search(index: IndexTables, queries: list[SearchQuery], typos: bool = True) -> DataFrame:
+    """The pages of all queries with the columns of their documents, which are fetched
+    for the rows of the pages only."""
+    pages = search_pages(index, queries, typos)
+    rows = len(queries) * page_bounds(queries[0].page, queries[0].page_size)[1]
     rest = [c for c in index.docs.columns if c not in HIT_COLUMNS]
-    return paged.select("qk", "rank", "total", "score", "filter_score", "num_typos", "number_exact_words", as_field_matches(F.col("matched")).alias("field_matches"), *[F.col(f"`{c}`") for c in rest])
+    met = index.docs.join(F.broadcast(pages) if rows <= BROADCAST_ROWS else pages, ID)
+    return met.select(*HIT_COLUMNS, *[F.col(f"`{c}`") for c in rest])
+
 
+def fetch_documents(index: IndexTables, ids: list[str], columns: list[str]) -> DataFrame:
+    """Q13: documents by identifier; the identifiers reach the scan."""
+    where = any_equal(ID, ids) if len(ids) <= PROBES else F.col(ID).isin(ids)
+    return index.docs.where(where).select(*[F.col(f"`{c}`") for c in dict.fromkeys([ID, *columns])])
