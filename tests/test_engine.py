@@ -11,10 +11,10 @@ from lodestone.settings import IndexSettings, RankingCriterion, needs_reindex, p
 from lodestone.sources.documents import parse_body
 from lodestone.streaming.ingest import stream_into_index, windowed_searches
 
-SETTINGS = {"name": "movies", "searchable_fields": ["title", "cast"], "filterable_fields": ["year"], "ranking_criteria": [{"field": "popularity", "order": "desc"}]}
+SETTINGS = {"name": "tools", "searchable_fields": ["label", "makers"], "filterable_fields": ["made"], "ranking_criteria": [{"field": "weight", "order": "desc"}]}
 DOCS = [
-    {"documentID": " a ", "title": "The Office", "cast": ["Steve Carell"], "year": 2005, "popularity": 9.1},
-    {"documentID": "b", "title": "Office Space", "cast": ["Ron"], "year": 1999, "popularity": 7.5},
+    {"documentID": " t1 ", "label": "Claw Hammer", "makers": ["Ana Ruiz"], "made": 1988, "weight": 0.9},
+    {"documentID": "t2", "label": "Hammer Drill", "makers": ["Olu"], "made": 2011, "weight": 0.4},
 ]
 
 
@@ -27,25 +27,25 @@ def engine(spark, tmp_path):
 
 def test_documents_and_search(engine, spark):
     engine.create_index(SETTINGS)
-    index = engine.index("movies")
-    assert index.search("office")["total"] == 0
+    index = engine.index("tools")
+    assert index.search("hammer")["total"] == 0
     index.add(DOCS, wait=True)
-    index.add('{"documentID": "c", "title": "The Office", "year": 2001, "popularity": 3.0, "extra": "x"}', wait=True)
-    found = index.search("office")
-    assert [h["document"][ID] for h in found["hits"]] == ["a", "b", "c"] and found["total"] == 3
-    assert found["hits"][0]["field_matches"] == {"title": ["office"]}
-    index.add([{"documentID": "b", "title": "Updated", "year": 2020, "popularity": 1.0}], wait=True)
-    assert index.search("office")["total"] == 2 and index.search("updated")["total"] == 1
-    assert index.documents(page_size=2)["pages"] == 2 and index.get("b")["title"] == "Updated"
-    index.delete("a", wait=True)
+    index.add('{"documentID": "t3", "label": "Sledge Hammer", "made": 1950, "weight": 0.1, "extra": "x"}', wait=True)
+    found = index.search("hammer")
+    assert [h["document"][ID] for h in found["hits"]] == ["t1", "t2", "t3"] and found["total"] == 3
+    assert found["hits"][0]["field_matches"] == {"label": ["hammer"]}
+    index.add([{"documentID": "t2", "label": "Mallet", "made": 2020, "weight": 1.0}], wait=True)
+    assert index.search("hammer")["total"] == 2 and index.search("mallet")["total"] == 1 and index.search("malet")["total"] == 1
+    assert index.documents(page_size=2)["pages"] == 2 and index.get("t2")["label"] == "Mallet"
+    index.delete("t1", wait=True)
     with pytest.raises(DocumentNotFound):
-        index.get("a")
+        index.get("t1")
     with pytest.raises(RuntimeError):
-        index.delete("a", wait=True)
-    projected = index.search({"query": "office", "retrievable_fields": ["title", "nope"]})["hits"][0]["document"]
-    assert set(projected) == {ID, "title"}
-    assert index.search({"query": "office", "page": 9})["total"] == 1
-    many = index.multi_search([{"name": "x", "query": "office"}, {"name": "y", "query": "updated", "filters": {"filters": [{"field": "year", "operator": "_lt", "value": 2000}]}}])
+        index.delete("t1", wait=True)
+    projected = index.search({"query": "hammer", "retrievable_fields": ["label", "nope"]})["hits"][0]["document"]
+    assert set(projected) == {ID, "label"}
+    assert index.search({"query": "hammer", "page": 9})["total"] == 1
+    many = index.multi_search([{"name": "x", "query": "hammer"}, {"name": "y", "query": "mallet", "filters": {"filters": [{"field": "made", "operator": "_lt", "value": 2000}]}}])
     assert {k: v["total"] for k, v in many["results"].items()} == {"x": 1, "y": 0} and many["total_queries"] == 2
     for bad in ([], [{"name": "x", "query": "a"}, {"name": "x", "query": "b"}], [{"name": " ", "query": "a"}]):
         with pytest.raises(InvalidInput):
@@ -53,8 +53,8 @@ def test_documents_and_search(engine, spark):
     board = engine.analytics()
     assert len(board["hourly"]) == 24 and board["active_indexes"] == 1 and board["total_documents"] == 2 and board["popular_searches"]
     index.persist()
-    again = Engine(spark, engine.data_dir).index("movies")
-    assert again.search("office")["total"] == 1
+    again = Engine(spark, engine.data_dir, track=False).index("tools")
+    assert again.search("hammer")["total"] == 1
     index.clear(wait=True)
     assert index.stats()["document_count"] == 0
 
@@ -68,22 +68,22 @@ def test_catalog(engine):
     with pytest.raises(IndexNotFound):
         engine.index("none")
     with pytest.raises(SameName):
-        engine.rename_index("movies", "movies")
-    engine.index("movies").add(DOCS, wait=True)
-    engine.rename_index("movies", "films")
-    assert engine.indexes() == ["films"] and engine.index("films").settings.name == "films"
-    engine.index("films").update_settings({"searchable_fields": ["title"], "min_word_size_for_1_typo": 5}, wait=True)
-    assert engine.index("films").search("carell")["total"] == 0 and engine.index("films").stats()["typo_settings"]["min_word_size_for_1_typo"] == 5
-    engine.delete_index("films")
+        engine.rename_index("tools", "tools")
+    engine.index("tools").add(DOCS, wait=True)
+    engine.rename_index("tools", "kit")
+    assert engine.indexes() == ["kit"] and engine.index("kit").settings.name == "kit"
+    engine.index("kit").update_settings({"searchable_fields": ["label"], "min_word_size_for_1_typo": 5}, wait=True)
+    assert engine.index("kit").search("ruiz")["total"] == 0 and engine.index("kit").stats()["typo_settings"]["min_word_size_for_1_typo"] == 5
+    engine.delete_index("kit")
     assert engine.indexes() == [] and engine.health()["status"] == "ok"
-    assert {j.type for j in engine.jobs("films")} == {"update_settings_reindex", "delete_index"}
+    assert {j.type for j in engine.jobs("kit")} == {"update_settings_reindex", "delete_index"}
     metrics = engine.job_metrics()
     assert metrics["success_rate"] == 1.0 and metrics["workload"] == 0
 
 
 def test_invalid_documents(engine):
     engine.create_index(SETTINGS)
-    index = engine.index("movies")
+    index = engine.index("tools")
     for body in ("[1]", "[]", "nope", '"x"'):
         with pytest.raises(InvalidInput):
             index.add(body)

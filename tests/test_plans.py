@@ -3,8 +3,10 @@
 import pytest
 
 from lodestone import queries
-from lodestone.operators.index import ID
-from lodestone.plans.search import search
+from lodestone.operators.bm25 import bm25_scores
+from lodestone.operators.fuzzy import near_stored
+from lodestone.operators.index import ID, lookup_term
+from lodestone.plans.search import fetch_documents, search_pages
 from lodestone.settings import IndexSettings, RankingCriterion, SearchQuery
 from lodestone.sources.store import IndexStore
 
@@ -22,19 +24,56 @@ def plan_of(spark, df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_exact_search_prunes_postings_and_columns(spark, store):
-    found = search(store.tables(), [SearchQuery("the of", filters={"filters": [{"field": "n_chars", "operator": "_gt", "value": 100}]})], typos=False)
-    plan = plan_of(spark, found.select("rank", ID, "score"))
-    assert "In(term, [of,the])" in plan  # terms reach the postings scan
-    assert "GreaterThan(n_chars,100)" in plan  # filters reach the documents scan
-    assert "WindowGroupLimit" in plan  # ranks are limited before the shuffle
-    assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    schemas = [x.split(">")[0] for x in plan.split("ReadSchema: struct<")[1:]]
-    assert all("text:" not in s for s in schemas), schemas  # the text column is not read
+def scans(plan):
+    """The file scans of a plan: (columns read, pushed filters)."""
+    return [(x.split("ReadSchema: struct<")[1].split(">")[0], x.split("PushedFilters: [")[1].split("]")[0]) for x in plan.split("FileScan parquet")[1:]]
+
+
+def is_clean(plan):
+    return "CartesianProduct" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize(("text", "terms"), [("the of", {"the", "of"}), ("ofthe", None)])
+def test_search_of_a_stored_index(spark, store, text, terms):
+    """As the engine plans it, typos included: terms and filters reach the scans, ranks
+    are limited before the shuffle, and ranking reads no text."""
+    tree = {"filters": [{"field": "n_chars", "operator": "_gt", "value": 100}]}
+    plan = plan_of(spark, search_pages(store.tables(), [SearchQuery(text, filters=tree)]))
+    found = scans(plan)
+    postings = [p for columns, p in found if "tf:" in columns]
+    assert postings and all("EqualTo(term," in p or "In(term," in p for p in postings)
+    if terms:
+        assert all(f"EqualTo(term,{t})" in postings[0] for t in terms)
+    documents = [(c, p) for c, p in found if "n_chars" in c]
+    assert documents and all("GreaterThan(n_chars,100)" in p and "text:" not in c for c, p in documents)
+    assert not any("variant:" in c for c, _ in found)  # candidates were found before
+    assert "WindowGroupLimit" in plan and is_clean(plan)
+
+
+def test_search_without_filters_reads_no_documents(spark, store):
+    tables = store.tables()
+    tables.settings = IndexSettings("documents", ("text",), fields_without_prefix_search=("text",)).validated()
+    plan = plan_of(spark, search_pages(tables, [SearchQuery("the of")]))
+    assert not any("lang:" in c or "text:" in c or "n_chars:" in c for c, _ in scans(plan))
+    fetched = plan_of(spark, fetch_documents(tables, ["3", "17"], ["lang"]))
+    assert all(p.count("EqualTo(documentID,") == 2 and "text:" not in c for c, p in scans(fetched))
+
+
+def test_bm25_and_posting_list_prune_by_term(spark, store):
+    tables = store.tables()
+    plan = plan_of(spark, bm25_scores(tables.docs, tables.postings, tables.settings, ["the", "und"]))
+    assert all("EqualTo(term,the)" in p and "EqualTo(term,und)" in p for c, p in scans(plan) if "term:" in c)
+    plan = plan_of(spark, lookup_term(tables.postings, tables.settings, "the"))
+    assert all("EqualTo(term,the)" in p for _, p in scans(plan))
+
+
+def test_probes_reach_the_variants(spark, store):
+    plan = plan_of(spark, near_stored(["abcdefghi"], store.tables().variants, 2))
+    assert all("EqualTo(variant,abcdefg)" in p for c, p in scans(plan) if "variant:" in c) and is_clean(plan)
 
 
 def test_no_query_of_the_engine_runs_python(spark, sf_dir):
-    for name, f in queries.QUERIES.items():
+    for name, f in queries.QUERIES.items():  # those of the engine run it while they are planned
         plan = plan_of(spark, f(spark, sf_dir))
         assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan, name
 

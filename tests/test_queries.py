@@ -1,7 +1,10 @@
 import pytest
 from oracle import agree, connect
 
-from lodestone.queries import ORACLE_SQL, QUERIES
+from lodestone import queries, queries_engine
+
+QUERIES = queries.QUERIES | queries_engine.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | queries_engine.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")

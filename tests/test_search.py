@@ -24,74 +24,78 @@ def table(spark, rows, schema, settings):
 
 
 @pytest.fixture(scope="module")
-def movies(spark):
+def plants(spark):
     rows = [
-        ("movie1", "The Action Movie", "Action", 2023, 8.5, True, ["plat_pc_dev_computer", "plat_dev_all"]),
-        ("movie2", "The Comedy Movie", "Comedy", 2022, 7.0, False, ["plat_dev_all"]),
-        ("movie3", "The Drama Movie", "Drama", 2021, 9.0, True, ["plat_pc_dev_computer"]),
+        ("p-oak", "A tall garden oak", "Tree", 1890, 30.5, False, ["shade", "dry soil"]),
+        ("p-iris", "A small garden iris", "Flower", 2019, 0.6, True, ["wet soil"]),
+        ("p-fig", "A broad garden fig", "Tree", 1975, 8.0, True, ["shade"]),
     ]
-    settings = IndexSettings("m", ("title", "genre"), (), (RankingCriterion("~filters"), RankingCriterion("~score")), **DEFAULT)
-    return table(spark, rows, "documentID string, title string, genre string, year int, rating double, is_premium boolean, filters array<string>", settings)
+    settings = IndexSettings("plants", ("label", "kind"), (), (RankingCriterion("~filters"), RankingCriterion("~score")), **DEFAULT)
+    return table(spark, rows, "documentID string, label string, kind string, planted int, height double, edible boolean, likes array<string>", settings)
 
 
 def leaf(field, operator, value, score=0.0):
     return {"field": field, "operator": operator, "value": value, "score": score}
 
 
-def test_filter_scores_rank(movies):
-    tree = {"operator": "OR", "filters": [leaf("genre", "", "Action", 2.0), leaf("genre", "", "Comedy", 1.5)]}
-    assert [(r[ID], r["filter_score"]) for r in run(movies, SearchQuery("movie", filters=tree))] == [("movie1", 2.0), ("movie2", 1.5)]
-    tree = {"operator": "AND", "filters": [leaf("genre", "", "Action", 2.0), leaf("is_premium", "", True, 3.0)]}
-    assert [(r[ID], r["filter_score"]) for r in run(movies, SearchQuery("movie", filters=tree))] == [("movie1", 5.0)]
-    tree = {"operator": "OR", "filters": [leaf("filters", "_contains", "plat_pc_dev_computer", 2.0), leaf("filters", "_contains", "plat_dev_all", 1.0)]}
-    assert sorted((r[ID], r["filter_score"]) for r in run(movies, SearchQuery("movie", filters=tree))) == [("movie1", 3.0), ("movie2", 1.0), ("movie3", 2.0)]
+def scored(index, tree):
+    return [(r[ID], r["filter_score"]) for r in run(index, SearchQuery("garden", filters=tree))]
 
 
-def test_no_tokens_no_hits(movies):
-    assert run(movies, "") == [] and run(movies, "!?*") == [] and run(movies, "nonexistentXYZ") == []
+def test_filter_scores_rank(plants):
+    either = [leaf("kind", "", "Flower", 0.75), leaf("planted", "_lt", 1900, 4.0)]
+    assert scored(plants, {"operator": "OR", "filters": either}) == [("p-oak", 4.0), ("p-iris", 0.75)]
+    both = [leaf("kind", "", "Tree", 0.5), leaf("edible", "", True, 1.25)]
+    assert scored(plants, {"operator": "AND", "filters": both}) == [("p-fig", 1.75)]
+    liked = [leaf("likes", "_contains", "soil", 1.0), leaf("likes", "_contains", "shade", 0.5)]
+    assert scored(plants, {"operator": "OR", "filters": liked}) == [("p-oak", 1.5), ("p-iris", 1.0), ("p-fig", 0.5)]
 
 
-def test_field_restriction(movies):
-    assert len(run(movies, SearchQuery("action", restrict_searchable_fields=("genre",)))) == 1
+def test_no_tokens_no_hits(plants):
+    assert run(plants, "") == [] and run(plants, " ;,# ") == [] and run(plants, "submarine") == []
+
+
+def test_field_restriction(plants):
+    assert {r[ID] for r in run(plants, SearchQuery("tree", restrict_searchable_fields=("kind",)))} == {"p-oak", "p-fig"}
+    assert run(plants, SearchQuery("tree", restrict_searchable_fields=("label",))) == []
     with pytest.raises(InvalidInput, match="not configured as a searchable field"):
-        run(movies, SearchQuery("action", restrict_searchable_fields=("title", "year")))
+        run(plants, SearchQuery("tree", restrict_searchable_fields=("kind", "height")))
 
 
 def test_distinct_keeps_first_in_ranking(spark):
-    rows = [("1", "The Matrix", 1999, 8.0), ("2", "The Matrix", 1999, 9.0), ("3", "The Movie", 2001, 5.0), ("4", "The Movie", 2002, 6.0), ("5", "Other", 2000, 1.0)]
-    schema = "documentID string, title string, year int, popularity double"
-    ranking = (RankingCriterion("popularity", "desc"),)
-    with_distinct = table(spark, rows, schema, IndexSettings("d", ("title",), (), ranking, distinct_field="title", **DEFAULT))
-    assert [r[ID] for r in run(with_distinct, "the")] == ["2", "4"]
-    without = table(spark, rows, schema, IndexSettings("d", ("title",), (), ranking, **DEFAULT))
-    assert [r[ID] for r in run(without, "the")] == ["2", "1", "4", "3"]
-    assert [r["total"] for r in run(without, SearchQuery("the", page=2, page_size=3))] == [4]
+    rows = [("k1", "red kite", 10.0), ("k2", "red kite", 40.0), ("k3", "red barn", 20.0), ("k4", "red barn", 15.0), ("k5", "red kite", 25.0), ("k6", "blue barn", 99.0)]
+    ranking = (RankingCriterion("price", "desc"),)
+    every = table(spark, rows, "documentID string, name string, price double", IndexSettings("d", ("name",), (), ranking, **DEFAULT))
+    assert [r[ID] for r in run(every, "red")] == ["k2", "k5", "k3", "k4", "k1"]
+    assert [r["total"] for r in run(every, SearchQuery("red", page=3, page_size=2))] == [5]
+    once = table(spark, rows, "documentID string, name string, price double", IndexSettings("d", ("name",), (), ranking, distinct_field="name", **DEFAULT))
+    assert [(r[ID], r["total"]) for r in run(once, "red")] == [("k2", 2), ("k3", 2)]
 
 
 def test_protected_words(spark):
-    rows = [("doc1", "hitler biography", "a"), ("doc2", "stalin era", "b"), ("doc3", "covid pandemic", "c"), ("doc4", "history", "d")]
-    settings = IndexSettings("p", ("title", "content"), (), (), 3, 6, non_typo_tolerant_words=("hitler", "stalin", "covid"))
+    rows = [("1", "lantern repair", "brass"), ("2", "saddle care", "leather"), ("3", "candle making", "beeswax")]
+    settings = IndexSettings("p", ("title", "content"), (), (), 3, 6, non_typo_tolerant_words=("lantern", "saddle"))
     index = table(spark, rows, "documentID string, title string, content string", settings)
-    queries = ["hitler", "stalin", "covid", "HITLER", "hitlar", "staln", "covd", "HITLAR", "pandemc"]
-    found = Counter(r["qk"] for r in run(index, *queries))
-    assert [found[k] for k in range(len(queries))] == [1, 1, 1, 1, 0, 0, 0, 0, 1]
+    expected = {"lantern": 1, "LANTERN": 1, "saddle": 1, "lantrn": 0, "Sadle": 0, "lan": 1, "candel": 1, "beeswx": 1}
+    found = Counter(r["qk"] for r in run(index, *expected))
+    assert [found[k] for k in range(len(expected))] == list(expected.values())
 
 
 def test_exact_and_typo_reporting(spark):
-    rows = [("office_show_doc", "The Office", ["Steve Carell"]), ("other", "Officer Down", ["X"]), ("third", "Workplace", ["Y"])]
-    index = table(spark, rows, "documentID string, title string, castNames array<string>", IndexSettings("o", ("title", "castNames"), **DEFAULT))
-    hit = next(r for r in run(index, "the office") if r[ID] == "office_show_doc")
-    assert (hit["num_typos"], hit["number_exact_words"], hit["score"]) == (0, 2, 2.0)
-    assert hit["field_matches"] == {"title": ["office", "the"]}
-    typo = run(index, "ofice")
-    assert {r["score"] for r in typo} == {0.8} and all(r["num_typos"] == 1 for r in typo)
+    rows = [("1", "Harbour Lights", ["Mira Holm"]), ("2", "Harbours of the North", ["Jon Vale"]), ("3", "Inland", ["Ida Berg"])]
+    index = table(spark, rows, "documentID string, title string, people array<string>", IndexSettings("o", ("title", "people"), **DEFAULT))
+    hit = next(r for r in run(index, "mira harbour lights") if r[ID] == "1")
+    assert (hit["num_typos"], hit["number_exact_words"], hit["score"]) == (0, 3, 3.0)
+    assert hit["field_matches"] == {"people": ["mira"], "title": ["harbour", "lights"]}
+    typo = run(index, "harbuor")
+    assert {r[ID] for r in typo} == {"1", "2"} and {r["score"] for r in typo} == {0.8} and all(r["num_typos"] == 1 for r in typo)
 
 
 def test_ranking_ties(spark):
-    rows = [("high", "office a", 3.0, 1.0), ("low", "office b", 1.0, 9.0), ("tie2", "office c", 2.0, 4.0), ("tie1", "office d", 2.0, 5.0), ("none", "office e", None, 7.0)]
-    settings = IndexSettings("r", ("title",), (), (RankingCriterion("rankingSort", "desc"), RankingCriterion("popularity", "desc")), **DEFAULT)
-    index = table(spark, rows, "documentID string, title string, rankingSort double, popularity double", settings)
-    assert [r[ID] for r in run(index, "office")] == ["high", "tie1", "tie2", "low", "none"]
+    rows = [("c", "boat one", 2.0, 5.0), ("a", "boat two", 9.0, 1.0), ("d", "boat three", 2.0, 4.0), ("b", "boat four", 7.0, 0.0), ("e", "boat five", None, 8.0)]
+    settings = IndexSettings("r", ("title",), (), (RankingCriterion("speed", "desc"), RankingCriterion("crew", "desc")), **DEFAULT)
+    index = table(spark, rows, "documentID string, title string, speed double, crew double", settings)
+    assert [r[ID] for r in run(index, "boat")] == ["a", "b", "c", "d", "e"]
 
 
 def test_near_terms_plans_agree(spark):
@@ -106,12 +110,12 @@ def test_near_terms_plans_agree(spark):
 
 
 def test_posting_lists(spark):
-    rows = [("0", "The Matrix", "The one", ["x"]), ("1", "The Movie", "second", [])]
+    rows = [("0", "Tin Teapot", "tin and tin", ["t"]), ("1", "Tray", "plain", [])]
     docs = spark.createDataFrame(rows, "documentID string, title string, description string, tags array<string>")
     settings = IndexSettings("i", ("title", "description", "tags"), fields_without_prefix_search=("description", "tags"))
     postings = build_postings(docs, settings)
-    assert sorted(map(tuple, lookup_term(postings, vocabulary(postings), settings, "the").collect())) == [("0", "description", 1.0), ("0", "title", 1.0), ("1", "title", 1.0)]
-    assert sorted(map(tuple, lookup_term(postings, vocabulary(postings), settings, "m").collect())) == [("0", "title", 1.0), ("1", "title", 1.0)]
+    assert sorted(map(tuple, lookup_term(postings, settings, "tin").collect())) == [("0", "description", 2.0), ("0", "title", 1.0)]
+    assert sorted(map(tuple, lookup_term(postings, settings, "t").collect())) == [("0", "tags", 1.0), ("0", "title", 1.0), ("1", "title", 1.0)]
 
 
 def test_rejected_documents(spark):
