@@ -5,16 +5,21 @@ thresholds b_1 < b_2 < ...; the expected severity is the sum of these
 probabilities. Features are the distinct words of a text and their first four,
 five and six letters, kept where the training rows tell grades apart.
 
+Grades are those of the labels, as whole numbers from 0: labels of m + 1 grades give
+m thresholds. The tables at hand label documents 0 or 1, so the registered query has
+one threshold, and its severity lies between 0 and 1. No grade is made up from the
+text.
+
 Training uses a bounded sample of the labelled rows, ``TRAIN_ROWS`` drawn by
-identifier hash; its feature counts are summed in Spark and only the
+identifier hash and written once; its feature counts are summed in Spark and only the
 ``MOST_FEATURES`` best reach the driver. Scoring reads every whole text.
 
-Where labels only tell toxic from clean, toxic training rows are graded 1 or 2:
-more distinct telling words than their median is grade 2.
-
 Null and empty texts have no features and get the base severity. Labels with a
-null id or grade are ignored; of several labels of one document the highest counts.
-Repeated rows are scored alike. Without two grades in training every severity is 0.
+null id or grade are ignored, and negative grades count as 0; of several labels of one
+document the highest counts. Repeated rows are scored alike; empty tables give no
+rows, or where nothing was learned the severity 0, as do labels of a single grade.
+Only the named columns are read, and ``drop_toxic`` carries all others along,
+whatever their names. Identifiers may be of any type.
 """
 
 from __future__ import annotations
@@ -86,13 +91,7 @@ def _vectors(features: list[str]):
         import pandas as pd
 
         for pdf in batches:
-            found, hits = [], []
-            for text in pdf["text"]:
-                words = _WORD.findall(text.lower()) if text else []
-                known = telling(text, heads, at)
-                found.append([at[f] for f in known])
-                hits.append(len({w for w in words if w[:HEAD] in heads and (w in at or w[:4] + "*" in at or w[:5] + "*" in at or w[:6] + "*" in at)}))
-            yield pd.DataFrame({"grade": pdf["grade"], "found": found, "hits": hits})
+            yield pd.DataFrame({"grade": pdf["grade"], "found": [[at[f] for f in telling(text, heads, at)] for text in pdf["text"]]})
 
     return run
 
@@ -104,7 +103,6 @@ def fit_cumulative_link(rows: list[list[int]], grades: np.ndarray, n_features: i
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.fromiter((c for r in rows for c in r), np.int64, len(doc))
     w, first, gaps = np.zeros(n_features), 2.0, np.zeros(max(0, top - 1))
-    above = (grades[:, None] >= np.arange(1, top + 1)[None, :]).astype(float)
     theta = np.concatenate((w, [first], gaps))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
@@ -129,21 +127,21 @@ def fit_cumulative_link(rows: list[list[int]], grades: np.ndarray, n_features: i
         grad = np.concatenate((g_w, [g_b.sum()], tails[1:] * np.exp(gaps)))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta + 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    assert above.shape[1] == top
     return theta[:n_features], theta[n_features] + np.concatenate(([0.0], np.cumsum(np.exp(theta[n_features + 1 :]))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, most_features: int = MOST_FEATURES) -> OrdinalModel:
-    graded = labels.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).where("id IS NOT NULL AND grade IS NOT NULL").groupBy("id").agg(F.max("grade").alias("grade"))
+    graded = labels.select(F.col(id_col).alias("id"), F.when(F.col(grade_col).isNotNull(), F.greatest(F.col(grade_col).cast("int"), F.lit(0))).alias("grade")).where("id IS NOT NULL AND grade IS NOT NULL").groupBy("id").agg(F.max("grade").alias("grade"))
     n = graded.count()
     if not n:
         return OrdinalModel()
     share = min(1.0, train_rows / n)
     sample = graded.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("text", "grade")
+    rows = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("text", "grade"), "training")
     counted = rows.mapInPandas(_count_features, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     totals = rows.agg(F.count_if(F.col("grade") > 0).alias("bad"), F.count_if(F.col("grade") == 0).alias("good")).first()
     if not totals["bad"] or not totals["good"]:
+        release(rows)
         return OrdinalModel()
     bad, good = float(totals["bad"]), float(totals["good"])
     # evidence for the toxic side: rate ratio, and a likelihood ratio against equal rates
@@ -155,13 +153,12 @@ def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col: st
     features = [r["feature"] for r in best.select("feature", "gain").collect()]
     release(candidates)
     if not features:
+        release(rows)
         return OrdinalModel()
     features.append(ANY)
-    found = rows.mapInPandas(_vectors(features), "grade int, found array<int>, hits int").collect()  # at most about train_rows rows
+    found = rows.mapInPandas(_vectors(features), "grade int, found array<int>").collect()  # at most about train_rows rows
+    release(rows)
     grades = np.array([r["grade"] for r in found])
-    if grades.max() == 1:
-        hits = np.array([r["hits"] for r in found])
-        grades = grades + ((grades == 1) & (hits > np.median(hits[grades == 1])))
     weights, thresholds = fit_cumulative_link([r["found"] for r in found], grades, len(features))
     return OrdinalModel(dict(zip(features, map(float, weights), strict=True)), [float(b) for b in thresholds])
 
