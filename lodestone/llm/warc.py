@@ -3,14 +3,22 @@
 ``parse_arc`` reads the version block, takes the field names of the record lines
 from it, and cuts bodies by their declared lengths. ``warc_record`` synthesises
 what ARC lacks: record identifiers (name-based UUIDs), ISO timestamps, record
-types and SHA-1 digests. Archives are written by Spark's text writer with the
-record separator CRLF CRLF, gzip-compressed, and read back record by record with
-bounded memory; digests are verified on reading.
+types and SHA-1 digests. ``read_arc_files`` is a source of ARC folders, plain or
+gzip-compressed, and ``convert_arc_files`` turns them into WARC archives.
+
+An archive holds a gzip member for each record, so every record can be reached by its
+offset, and is closed at ``ARCHIVE_BYTES``; a task holds one archive. Spark's text
+writer writes one archive a file: the last byte of a gzip member is the high byte of a
+length, 0 under 16 MB, and that 0 is the writer's line separator. Archives are read
+back record by record, and digests are verified on reading.
 
 Of equal payloads of at least ``REVISIT_BYTES`` bytes the row with the largest id
 is a response and the others become revisits of it; rows that share the largest
-id are all responses. Null payloads are empty; null URLs get a URN; a null id
-counts as the smallest. Spaces and control characters of URLs are percent-encoded.
+id are all responses, so repeated rows are. Null payloads are empty; null URLs get a
+URN; a null id counts as the smallest and stays null. Identifiers may be of any type
+that can be ordered and cast to text and back. Spaces and control characters of URLs
+are percent-encoded. An empty table gives archives without records. Only the named
+columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -18,11 +26,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import itertools
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +41,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import exchanged, scratch_path
 
 REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 4000
+#: Compressed bytes after which an archive is closed.
+ARCHIVE_BYTES = 16 << 20
+#: Records of a table that make one ARC file in memory on their way to WARC.
+ARC_BATCH = 256
 # Fixed values of the ARC file format.
 ARC_FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -71,10 +85,31 @@ def arc_record(version: int, url: str, body: bytes, date: str = "20200101000000"
     return " ".join(head).encode("utf-8", "surrogatepass") + b"\n" + body + b"\n"
 
 
-def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    """Records of an ARC file, the version block first. A body shorter than its
-    declared length is marked truncated; a malformed record line raises."""
-    stream = io.BytesIO(data)
+class _Chunks(io.RawIOBase):
+    """A stream over chunks of bytes."""
+
+    def __init__(self, chunks: Iterator[bytes]) -> None:
+        self.chunks, self.rest = chunks, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.rest:
+            part = next(self.chunks, None)
+            if part is None:
+                return 0
+            self.rest = part
+        n = min(len(into), len(self.rest))
+        into[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
+
+
+def parse_arc(data: bytes | BinaryIO) -> Iterator[ArcRecord]:
+    """Records of an ARC file, the version block first; memory is one record. A body
+    shorter than its declared length is marked truncated; a malformed record line
+    raises."""
+    stream = io.BytesIO(data) if isinstance(data, bytes) else data
     version, names = 0, ARC_FIELDS[1]
     while line := stream.readline():
         if line in (b"\n", b"\r\n"):
@@ -147,9 +182,9 @@ def warc_record(record: ArcRecord, ident=None, refers_to=None, refers_url: str |
     if kind != "warcinfo":
         head += [("WARC-Target-URI", record.url), ("WARC-IP-Address", record.fields.get("IP-address", "0.0.0.0")), ("WARC-Payload-Digest", sha1_base32(payload)), ("X-Payload-Length", str(len(payload)))]
         if ident is not None:
-            head.append(("X-Source-Id", str(ident)))
+            head.append(("X-Source-Id", quote(str(ident))))
     if kind == "revisit":
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_url if refers_url is not None else record.url, date, refers_to)), ("X-Refers-To-Source-Id", str(refers_to))]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_url if refers_url is not None else record.url, date, refers_to)), ("X-Refers-To-Source-Id", quote(str(refers_to)))]
     if record.truncated:
         head.append(("WARC-Truncated", "length"))
     head += [("WARC-Block-Digest", sha1_base32(block)), ("Content-Type", content), ("Content-Length", str(len(block)))]
@@ -157,7 +192,7 @@ def warc_record(record: ArcRecord, ident=None, refers_to=None, refers_url: str |
     return b"WARC/1.0" + CRLF + lines + CRLF + block
 
 
-def arc_to_warc(data: bytes) -> Iterator[bytes]:
+def arc_to_warc(data: bytes | BinaryIO) -> Iterator[bytes]:
     """All records of an ARC file as WARC records."""
     for record in parse_arc(data):
         yield warc_record(record) + GAP
@@ -206,78 +241,194 @@ def parse_warc(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]
         yield head, block
 
 
+def _inflated(data: bytes, step: int = 1 << 20, feed: int = 1 << 14) -> Iterator[tuple[int, bytes]]:
+    """(offset of the member, chunk) of a gzip file of one or many members; zero bytes
+    after a member are padding."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, pos = zlib.decompressobj(31), at
+        while not z.eof:
+            if z.unconsumed_tail:
+                part = z.decompress(z.unconsumed_tail, step)
+            elif pos < len(view):
+                part = z.decompress(view[pos : pos + feed], step)
+                pos += feed
+            else:
+                raise ValueError("gzip file ends inside a member")
+            if part:
+                yield at, part
+        at = min(pos, len(view)) - len(z.unused_data)
+        while at < len(view) and not view[at]:
+            at += 1
+
+
 def inflate(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
     """Chunks of a gzip file of one or many members; other data passes through."""
-    if data[:2] != b"\x1f\x8b":
+    if data[:2] == b"\x1f\x8b":
+        yield from (part for _, part in _inflated(data, step))
+    else:
         for i in range(0, len(data), step):
             yield data[i : i + step]
-        return
-    while data:
-        z = zlib.decompressobj(31)
-        view, at = memoryview(data), 0
-        while at < len(data) and not z.eof:
-            rest = z.unconsumed_tail
-            part = z.decompress(rest or view[at : at + step], step)
-            if not rest:
-                at += step
-            if part:
-                yield part
-            while z.unconsumed_tail:
-                if part := z.decompress(z.unconsumed_tail, step):
-                    yield part
-        if tail := z.flush():
-            yield tail
-        data = z.unused_data + bytes(view[at:]) if z.eof else b""
 
 
-def _writer(version: int, date: str):
+def members(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of every member of an archive."""
+    for at, parts in itertools.groupby(_inflated(data), key=lambda x: x[0]):
+        yield at, b"".join(p for _, p in parts)
+
+
+def member(record: bytes) -> bytes:
+    """A record as a gzip member of its own."""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(record) + z.flush()
+
+
+def _archives(records: Iterator[bytes], archive_bytes: int) -> Iterator[bytes]:
+    """Whole archives of the records, without their last byte, which is 0."""
+
+    def close(parts: list[bytes]) -> bytes:
+        if parts[-1][-1]:  # a record of 16 MB or more: an empty member ends in 0
+            parts.append(member(b""))
+        return b"".join(parts)[:-1]
+
+    parts: list[bytes] = []
+    size = 0
+    for record in records:
+        part = member(record + GAP)
+        if parts and size + len(part) > archive_bytes:
+            yield close(parts)
+            parts, size = [], 0
+        parts.append(part)
+        size += len(part)
+    if parts:
+        yield close(parts)
+
+
+def _archive_rows(records: Iterator[bytes], archive_bytes: int):
+    import pyarrow as pa
+
+    for archive in _archives(records, archive_bytes):
+        yield pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], ["archive"])
+
+
+def _writer(version: int, date: str, archive_bytes: int):
+    """Rows (id, url, html, refers_to, refers_url) to archives: each batch of rows
+    becomes an ARC file in memory, which the converter reads."""
+    block = arc_version_block(version, date=date)
+
     def run(batches):
-        import pyarrow as pa
-
-        block = arc_version_block(version, date=date)
-        out = [warc_record(next(parse_arc(block)), "info")]
-        for b in batches:
-            for ident, url, html, refers, refers_url in zip(*(b.column(i) for i in range(5)), strict=True):
-                ident, refers, payload = ident.as_py(), refers.as_py(), (html.as_py() or "").encode("utf-8", "surrogatepass")
-                http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-                legacy = block + arc_record(version, encode_url(url.as_py(), ident), http + payload, date)
-                *_, record = parse_arc(legacy)
-                out.append(warc_record(record, ident, refers, None if refers is None else encode_url(refers_url.as_py(), refers)))
-                if len(out) >= 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-                    out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+        def records():
+            yield warc_record(next(parse_arc(block)), "info")
+            for whole in batches:
+                for at in range(0, whole.num_rows, ARC_BATCH):
+                    rows = list(zip(*(c.to_pylist() for c in whole.slice(at, ARC_BATCH).columns), strict=True))
+                    legacy = [block]
+                    for ident, url, html, _, _ in rows:
+                        payload = (html or "").encode("utf-8", "surrogatepass")
+                        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+                        legacy.append(arc_record(version, encode_url(url, ident), http + payload, date))
+                    found = parse_arc(b"".join(legacy))
+                    next(found)  # the version block
+                    for (ident, _, _, refers, refers_url), record in zip(rows, found, strict=True):
+                        yield warc_record(record, ident, refers, None if refers is None else encode_url(refers_url, refers))
+
+        yield from _archive_rows(records(), archive_bytes)
 
     return run
 
 
 def revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, html, refers_to, refers_url): refers_to names the response that a
-    page repeats. Only digests of payloads seen twice meet the pages; where they
-    are many, the join is a shuffle that splits a hot payload."""
+    page repeats. Only digests of payloads seen twice meet the pages; where they are
+    many, the join is a shuffle that splits a hot payload. Payloads too short for a
+    revisit go round the join."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html"))
-    digest = F.when(F.octet_length("html") >= REVISIT_BYTES, F.sha1(F.col("html").cast("binary")))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html"))
+    id_type = dict(rows.dtypes)["id"]
+    long = F.octet_length("html") >= REVISIT_BYTES
+    keyed = rows.where(long).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     best = F.max(F.struct("id", F.coalesce("url", F.lit("")).alias("url"))).alias("best")
-    groups = rows.select("id", "url", digest.alias("digest")).where("digest IS NOT NULL").groupBy("digest").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = keyed.groupBy("digest").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = groups.select("digest", F.col("best.id").alias("target"), F.col("best.url").alias("target_url"))
-    met = rows.withColumn("digest", digest).join(exchanged(groups, "digest"), "digest", "left")
+    met = keyed.join(exchanged(groups, "digest"), "digest", "left")
     again = F.col("target").isNotNull() & ~F.col("id").eqNullSafe(F.col("target"))
-    return met.select("id", "url", "html", F.when(again, F.col("target")).alias("refers_to"), F.when(again, F.col("target_url")).alias("refers_url"))
+    judged = met.select("id", "url", "html", F.when(again, F.col("target")).alias("refers_to"), F.when(again, F.col("target_url")).alias("refers_url"))
+    none = F.lit(None)
+    return judged.union(rows.where(~long).select("id", "url", "html", none.cast(id_type).alias("refers_to"), none.cast("string").alias("refers_url")))
+
+
+def _save(archives: DataFrame, path: str) -> None:
+    """One archive a file; the separator restores its last byte."""
+    archives.select(F.col("archive").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
-def write_archives(pages: DataFrame, path: str, arc_version: int = 1, arc_date: str = "20200101000000", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write a WARC record per row to gzip archives under ``path``."""
-    records = revisits(pages, id_col, url_col, html_col).mapInArrow(_writer(arc_version, arc_date), "record binary")
-    records.select(F.col("record").cast("string")).write.option("lineSep", GAP.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def write_archives(pages: DataFrame, path: str, arc_version: int = 1, arc_date: str = "20200101000000", id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write a WARC record per row to archives under ``path``."""
+    _save(revisits(pages, id_col, url_col, html_col).mapInArrow(_writer(arc_version, arc_date, archive_bytes), "archive binary"), path)
+
+
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+
+
+ARC_RECORDS = "file string, position long, version int, url string, ip string, date string, content_type string, result_code string, checksum string, location string, truncated boolean, body binary"
+
+
+def _arc_reader(batches):
+    import pyarrow as pa
+
+    kinds = [pa.string(), pa.int64(), pa.int32(), *[pa.string()] * 7, pa.bool_(), pa.binary()]
+    names = [f.split()[0] for f in ARC_RECORDS.split(", ")]
+
+    def pack(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    for b in batches:
+        for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            rows: list[tuple] = []
+            size = 0
+            for position, r in enumerate(parse_arc(io.BufferedReader(_Chunks(inflate(content.as_py()))))):
+                f = r.fields
+                rows.append((file, position, r.version, r.url, f.get("IP-address"), f.get("Archive-date"), f.get("Content-type"), f.get("Result-code"), f.get("Checksum"), f.get("Location"), r.truncated, r.body))
+                size += len(r.body)
+                if size > 8 << 20:
+                    yield pack(rows)
+                    rows, size = [], 0
+            if rows:
+                yield pack(rows)
+
+
+def read_arc_files(spark: SparkSession, path: str, pattern: str = "*.arc*") -> DataFrame:
+    """Source of ARC files under ``path``, plain or gzip-compressed in one member or
+    many: a row a record, the version block (position 0) included."""
+    return _files(spark, path, pattern).select("path", "content").mapInArrow(_arc_reader, ARC_RECORDS)
+
+
+def convert_arc_files(spark: SparkSession, path: str, target: str, pattern: str = "*.arc*", archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """ARC files under ``path`` to WARC archives under ``target``; the files of one
+    task share archives, and each begins with its warcinfo record."""
+
+    def run(batches):
+        def records():
+            for b in batches:
+                for content in b.column(0):
+                    for r in parse_arc(io.BufferedReader(_Chunks(inflate(content.as_py())))):
+                        yield warc_record(r)
+
+        yield from _archive_rows(records(), archive_bytes)
+
+    _save(_files(spark, path, pattern).select("content").mapInArrow(run, "archive binary"), target)
 
 
 def _reader(batches):
     import pyarrow as pa
 
     names = ["record_type", "id", "url", "date", "payload_bytes", "payload_digest", "refers_to", "payload"]
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+
+    def pack(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
     for b in batches:
         for content in b.column(0):
             rows: list[tuple] = []
@@ -294,23 +445,24 @@ def _reader(batches):
                     if hashlib.sha1(payload).hexdigest() != digest or len(payload) != length:
                         raise ValueError(f"payload digest differs in {head['WARC-Record-ID']}")
                 own, refers = head.get("X-Source-Id"), head.get("X-Refers-To-Source-Id")
-                rows.append((head["WARC-Type"], own and int(own), head["WARC-Target-URI"], head["WARC-Date"], length, digest, refers and int(refers), payload))
+                rows.append((head["WARC-Type"], own and unquote(own), head["WARC-Target-URI"], head["WARC-Date"], length, digest, refers and unquote(refers), payload))
                 size += len(block)
                 if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield pack(rows)
                     rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield pack(rows)
 
 
-RECORDS = "record_type string, id long, url string, date string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+RECORDS = "record_type string, id string, url string, date string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, id_type: str = "long", pattern: str = "part-*") -> DataFrame:
     """Records of the archives under ``path``, digests verified; a revisit's
-    length and digest are those of the payload it repeats, its payload is null."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(_reader, RECORDS)
+    length and digest are those of the payload it repeats, its payload is null.
+    Identifiers come back as ``id_type``."""
+    rows = _files(spark, path, pattern).select("content").mapInArrow(_reader, RECORDS)
+    return rows.withColumns({c: F.col(c).cast(id_type) for c in ("id", "refers_to")})
 
 
 def round_trip(pages: DataFrame, path: str | None = None, **columns: str) -> DataFrame:
@@ -318,4 +470,4 @@ def round_trip(pages: DataFrame, path: str | None = None, **columns: str) -> Dat
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     write_archives(pages, path, **columns)
-    return read_archives(spark, path)
+    return read_archives(spark, path, dict(pages.dtypes)[columns.get("id_col", "page_id")])
