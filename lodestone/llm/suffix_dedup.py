@@ -425,7 +425,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     # classes with two places or more; copies of a text are one place
     place = F.xxhash64("t1", "t2", "at")
     classes = occurrences.select("h", place.alias("place")).groupBy("h").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low != high").select("h")
-    often = occurrences.join(exchanged(classes, "h"), "h").groupBy("h", "rh", "t1", "t2", "at", "windows").agg(F.min("owner").alias("owner"))
+    # the places are dealt anew for their grouping, so that the join can split a hot anchor
+    shared = exchanged(occurrences.join(exchanged(classes, "h"), "h"), "h")
+    often = shared.groupBy("h", "rh", "t1", "t2", "at", "windows").agg(F.min("owner").alias("owner"))
     often = materialize(often, "places")
     release(occurrences)
 
