@@ -421,7 +421,9 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         mixed = rest
 
     # members of one bucket in different components, block against block
-    fine = materialize(_texts(mixed.select("node").distinct(), source, nodes, shingle).mapInArrow(_fine(shingle), "node binary, fine binary"), "fine")
+    texts = _texts(mixed.select("node").distinct(), source, nodes, shingle)
+    fine = materialize(texts.mapInArrow(_fine(shingle), "node binary, fine binary"), "fine")
+    release(texts)
     sized = mixed.select("key", "node", "root").join(nodes.select("node", "n"), "node")
     placed = _placed(sized, percent).join(fine, "node").join(nodes.select("node", "bands"), "node")
     rows = placed.select(*KEYS, "side", "node", "root", "n", "bands", "fine").repartition(*KEYS).sortWithinPartitions(*KEYS)
