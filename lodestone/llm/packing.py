@@ -13,7 +13,9 @@ in decreasing size (ties by identifier), so memory is bounded by the block.
 
 Null texts and texts without words have no piece. A null source is a source of
 its own. Without a cluster column, equal texts are a cluster. Repeated rows are
-pieces of one cluster and land in different bins. Empty tables have no bins.
+pieces of one cluster and land in different bins. Empty tables have no bins. The
+table must have the source column (a column of nulls will do); others than the named
+ones are not read, so they cannot clash.
 """
 
 from __future__ import annotations

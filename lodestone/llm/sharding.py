@@ -5,14 +5,16 @@ document starts in a shard drawn from its identifier. Linked documents of one
 group in one start shard form a cell; in each round a cell looks up, by joins
 over (group, shard), which of its neighbours' shards holds most of the group and
 still has room, and the moves of a shard are accepted in order of gain up to its
-quota. A group that exceeds a shard settles in as few shards as have room. The
-unlinked documents then fill every shard up to the same size: they are weighed
+quota. A cell moves whole, so a group of several shards' size whose cells no longer
+fit anywhere stays where it started. The unlinked documents then fill every shard up to the same size: they are weighed
 in ``BALLAST`` hash buckets, a bounded table, and dealt best fit decreasing.
 
 Law ``bytes``: shard sizes are equal up to about one ballast bucket. Size is the
 UTF-8 length plus 8; null texts count 8, have no group and no checksum. Empty
 texts form one group. Repeated rows of one identifier stay in one shard. Slots
 number a shard's rows gaplessly from 0, ordered by bucket, identifier and checksum.
+An empty table has no rows. Only the named columns are read, so other columns cannot
+clash; identifiers may be of any type that casts to text.
 """
 
 from __future__ import annotations
