@@ -3,6 +3,13 @@
 Toxicity rejects documents, exact and near de-duplication keep one document of
 each group, decontamination removes documents with benchmark passages, and
 best-fit packing lays out the rest in bins of fixed length.
+
+Every stage takes tables with null, empty, repeated and very long texts, null ids and
+empty tables. Texts without words pass toxicity and decontamination, count as equal
+texts in exact dedup where they are null or empty, stay in near-dedup, and have no
+piece in the end. Of equal texts the row with the smallest id stays, of a near-duplicate
+group that with the smallest id; of rows that repeat its id and text, the one whose other
+columns hash lowest. Columns of any other name are carried along.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontam, exact_dedup, near_dup, packing, toxicity
-from lodestone.llm.common import scratch_path
+from lodestone.llm.common import delete_path, scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Every stage's table is deleted once the next one is written; the last stays, as
+    the result reads it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            delete_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
