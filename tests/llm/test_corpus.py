@@ -297,19 +297,6 @@ def test_language(docs, odd, empty):
     profiles = langid.learn(docs, ~langid.held_out())
     rows = langid.predict(docs, profiles).join(docs.select("doc_id", "lang"), "doc_id").where(langid.held_out()).collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) > 0.97 * len(rows) and all(0 <= r["score"] <= 1 for r in rows)
-    names = sorted(profiles)
-    rank = {n: {int(g): k for k, g in enumerate(profiles[n])} for n in names}
-    for r in docs.limit(20).collect():  # brute force of one text
-        text = " " + re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in r["text"].lower())).strip() + " "
-        grams = Counter(text[i : i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1))
-        del grams[" "]
-        code = {g: sum(ord(c) << (21 * (len(g) - 1 - k)) for k, c in enumerate(g)) for g in grams}
-        top = sorted(grams, key=lambda g: (-grams[g], code[g]))[: langid.TOP]
-        far = {n: sum(abs(rank[n][code[g]] - k) if code[g] in rank[n] else langid.TOP for k, g in enumerate(top)) for n in names}
-        best = min(names, key=lambda n: far[n])
-        got = langid.predict(docs.where(F.col("doc_id") == r["doc_id"]), profiles).first()
-        assert got["lang_pred"] == best and got["score"] == pytest.approx(1 - far[best] / (langid.TOP * len(top)))
-        break
     odd_rows = langid.predict(odd, profiles).collect()
     assert len(odd_rows) == len(TEXTS) and sum(r["lang_pred"] == "und" for r in odd_rows) == sum(not any(c.isalpha() for c in t or "") for _, t in TEXTS)
     assert langid.learn(empty, F.lit(True)) == {} and langid.predict(odd, {}).where("lang_pred != 'und'").count() == 0
@@ -323,10 +310,8 @@ def test_decontamination(spark, odd, empty):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "Short item"), (3, ""), (4, None), (1, "one two three four five six seven eight nine ten"), (12, "short ITEM x")], "item_id long, text string")
     text = "zero ONE two-three four five six; seven eight nine zzz short item x end"
     df = spark.createDataFrame([(1, text), (2, "short"), (3, None), (4, "SHORT item"), (1, text)], "doc_id long, text string").withColumns({"key": F.lit(1), "items": F.lit("c"), "gram": F.lit("g")})
-    for limit in (10**6, 0):
-        decontam.BROADCAST_WINDOWS, old = limit, decontam.BROADCAST_WINDOWS
-        rows = decontam.contamination(df, bench).select("doc_id", "n_words", "n_hit", "items").collect()
-        decontam.BROADCAST_WINDOWS = old
+    for windows, keys in ((10**6, 0), (0, 10**6), (0, 0)):
+        rows = decontam.contamination(df, bench, broadcast_windows=windows, broadcast_keys=keys).select("doc_id", "n_words", "n_hit", "items").collect()
         assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in rows) == Counter({(1, 15, 12, ("1", "12", "2")): 2, (2, 1, 0, ()): 1, (3, 0, 0, ()): 1, (4, 2, 2, ("2",)): 1})
     assert sorted(r["doc_id"] for r in decontam.decontaminate(df, bench).collect()) == [2, 3]
     cut = {r["doc_id"]: r["text"] for r in decontam.decontaminate(df, bench, remove="spans").collect()}
