@@ -13,7 +13,6 @@ import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import UTC, datetime, timedelta
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,15 +78,19 @@ def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias(ID), F.col("n_name").alias("title"), F.col("n_regionkey").alias("region"))
 
 
-@lru_cache(maxsize=8)
+_built: dict[tuple, IndexStore] = {}
+
+
 def _stored(spark: SparkSession, sf_dir: str, name: str) -> IndexStore:
     """The index of ``part`` or ``documents`` on disk, built once a session."""
-    parts = name == "part"
-    settings = PARTS if parts else IndexSettings("documents", ("text",), (), (), 4, 7, ("text",))
-    store = IndexStore(spark, scratch_folder(spark, f"index-{name}"))
-    store.create(settings)
-    store.upsert(_parts(spark, sf_dir) if parts else _docs(spark, sf_dir))
-    return store
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _built or not _built[key].exists():
+        parts = name == "part"
+        store = IndexStore(spark, scratch_folder(spark, f"index-{name}"))
+        store.create(PARTS if parts else IndexSettings("documents", ("text",), (), (), 4, 7, ("text",)))
+        store.upsert(_parts(spark, sf_dir) if parts else _docs(spark, sf_dir))
+        _built[key] = store
+    return _built[key]
 
 
 def _as_part(postings: DataFrame) -> DataFrame:
