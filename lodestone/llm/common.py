@@ -18,7 +18,7 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own_dir: list[str] = []
-_results: dict[str, SparkSession] = {}
+_open: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,33 +41,38 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def _sweep() -> None:
+    for path, spark in list(_open.items()):
+        try:
+            delete_path(spark, path)
+        except Exception:  # noqa: BLE001, S110 - the session has ended before the program
+            pass
+
+
+atexit.register(_sweep)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/lodestone-{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. What nobody deletes before, as it stands behind
+    a result, goes at the end of the program."""
+    path = f"{shared_dir(spark)}/lodestone-{label}-{uuid.uuid4().hex}"
+    _open[path] = spark
+    return path
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
+    _open.pop(path, None)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(conf).delete(target, True)
 
 
-def _sweep() -> None:
-    for path, spark in list(_results.items()):
-        try:
-            delete_path(spark, path)
-        except Exception:  # noqa: BLE001, S110 - the session has ended before the program
-            pass
-
-
 def result(df: DataFrame, label: str, *used: DataFrame) -> DataFrame:
     """Write an operator's result, then delete the tables that it was made of. The
     result's own files stay until ``release`` or the end of the program."""
     out = materialize(df, label)
     for x in used:
         release(x)
-    if not _results:
-        atexit.register(_sweep)
-    _results[out._lodestone_path] = df.sparkSession  # type: ignore[attr-defined]
     return out
 
 
@@ -95,7 +100,6 @@ def release(df: DataFrame) -> None:
     """Delete the files behind a materialized frame that no later step reads."""
     path = getattr(df, "_lodestone_path", None)
     if path:
-        _results.pop(path, None)
         delete_path(df.sparkSession, path)
 
 
