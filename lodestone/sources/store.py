@@ -187,7 +187,9 @@ class IndexStore:
         progress(2, len(STEPS), STEPS[2])
         sort(vocabulary(counts), "term").write.parquet(f"{base}/vocab")
         progress(3, len(STEPS), STEPS[3])
+        # a key becomes many variants: small keys are spread over all cores first
         keys = dictionary(self._part(entry, "vocab"), settings)
+        keys = keys if small else keys.repartition(self.spark.sparkContext.defaultParallelism, "term")
         sort(term_variants(keys), "variant").write.parquet(f"{base}/variants")
         self.files.delete(f"{base}/counts")
         entry["wide"] = list(settings.prefix_fields)
