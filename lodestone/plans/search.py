@@ -5,7 +5,10 @@ per (query, token, document) -> hits -> filters and ranks over the few columns t
 they need -> distinct -> page -> the page's documents. A single search is a batch of
 one. Over a stored index the candidates are found first, in the vocabulary and the
 stored variants; where there are at most ``RESOLVED`` of them the terms that they
-reach go to the postings scan as a predicate.
+reach go to the postings scan as a predicate. The few words of a search without typos
+over an index made on the fly are compared with the terms themselves. Every join with
+postings says how it is made: the planner takes postings made on the fly for as small
+as the columns that they come from, and would broadcast them.
 """
 
 from __future__ import annotations
@@ -136,7 +139,7 @@ def reach_of(index: IndexTables, tokens: list[Token], typos: bool) -> DataFrame
         parts.append(whole.select("qk", "token", "cand", "cls", F.col("f").alias("field"), F.col("cand").alias("term")))
     if wide and tokens:
         every = local_frame(spark, cands, "qk int, token string, cand string, cls int")
-        every = every if fuzzy is None else every.unionByName(fuzzy)
+        every = F.broadcast(every) if fuzzy is None else every.unionByName(fuzzy).hint("merge")
         words = index.words.where(F.col("field").isin(sorted(wide)))
         heads = sorted({c[2] for c in cands})
         if fuzzy is None and len(heads) <= PROBES:
@@ -153,20 +156,35 @@ def reach_of(index: IndexTables, tokens: list[Token], typos: bool) -> DataFrame
     return reduce(DataFrame.unionByName, [*parts, *([local_frame(spark, known, REACH)] if known else [])])
 
 
-def matches(index: IndexTables, queries: list[SearchQuery], typos: bool = True) -> DataFrame:
-    """Q3-Q12, Q15-Q18: hits (qk, documentID, score, num_typos, number_exact_words,
-    matched) of documents that match every token exactly or by a typo."""
+def met_postings(index: IndexTables, tokens: list[Token], typos: bool) -> DataFrame:
+    """Postings with the tokens (qk, token, cand, cls, times, wanted) that reach them."""
     s = index.settings
     spark = index.docs.sparkSession
-    tokens = query_tokens(s, queries)
-    reach = reach_of(index, tokens, typos)
     postings = index.postings
-    if isinstance(reach, list):
+    open_to = typos and any(open_to_typos(t.token, t.min1, t.min2, s.non_typo_tolerant_words) for t in tokens)
+    exact = [(t.qk, t.token, t.token, 0, t.times, t.wanted, f, f in s.prefix_fields) for t in tokens for f in t.fields]
+    if index.variants is None and not open_to and len(exact) <= PROBES:
+        ours = F.broadcast(local_frame(spark, exact, "qk int, token string, cand string, cls int, times int, wanted int, f string, w boolean"))
+        reached = [(F.col("field") == f) & (F.col("term").startswith(c) if w else F.col("term") == c) for c, f, w in sorted({(r[2], r[6], r[7]) for r in exact})]
+        held = postings.where(reduce(lambda a, b: a | b, reached, F.lit(False)))
+        on = (F.col("field") == F.col("f")) & F.when(F.col("w"), F.col("term").startswith(F.col("cand"))).otherwise(F.col("term") == F.col("cand"))
+        return held.join(ours, on).drop("f", "w")
+    reach = reach_of(index, tokens, typos)
+    resolved = isinstance(reach, list)
+    if resolved:
         terms = sorted({r[5] for r in reach})
         postings = postings.where(any_equal("term", terms) if len(terms) <= PROBES else F.col("term").isin(terms))
         reach = local_frame(spark, reach, REACH)
     weights = local_frame(spark, [(t.qk, t.token, t.times, t.wanted) for t in tokens], "qk int, token string, times int, wanted int")
-    met = postings.join(reach.join(weights, ["qk", "token"]), ["term", "field"])
+    weighed = reach.join(F.broadcast(weights), ["qk", "token"])
+    return postings.join(F.broadcast(weighed) if resolved else weighed.hint("merge"), ["term", "field"])
+
+
+def matches(index: IndexTables, queries: list[SearchQuery], typos: bool = True) -> DataFrame:
+    """Q3-Q12, Q15-Q18: hits (qk, documentID, score, num_typos, number_exact_words,
+    matched) of documents that match every token exactly or by a typo."""
+    s = index.settings
+    met = met_postings(index, query_tokens(s, queries), typos)
     wide = F.col("field").isin(list(s.prefix_fields)) if s.prefix_fields else F.lit(False)
     weight = F.when(wide, F.lit(1.0)).otherwise(F.col("tf").cast("double"))
     exact = F.col("cls") == 0

@@ -6,7 +6,7 @@ from lodestone import queries
 from lodestone.operators.bm25 import bm25_scores
 from lodestone.operators.fuzzy import near_stored
 from lodestone.operators.index import ID, lookup_term
-from lodestone.plans.search import fetch_documents, search_pages
+from lodestone.plans.search import IndexTables, fetch_documents, matches, search_pages
 from lodestone.settings import IndexSettings, RankingCriterion, SearchQuery
 from lodestone.sources.store import IndexStore
 
@@ -72,6 +72,34 @@ def test_probes_reach_the_variants(spark, store):
     assert all("EqualTo(variant,abcdefg)" in p for c, p in scans(plan) if "variant:" in c) and is_clean(plan)
 
 
+def broadcasts(plan):
+    """The subtrees that a plan broadcasts."""
+    lines = [(len(line) - len(line.lstrip(" :+-")), line) for line in plan.splitlines()]
+    out = []
+    for k, (depth, line) in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(k + 1, len(lines)) if lines[j][0] <= depth), len(lines))
+            out.append("\n".join(x for _, x in lines[k:end]))
+    return out
+
+
+@pytest.mark.parametrize(("texts", "typos", "reads"), [(["re"], False, 1), (["re", "re bolt promo"], True, 2), ([f"re{k}" for k in range(200)], False, 2)])
+def test_postings_made_on_the_fly_are_not_broadcast(spark, sf_dir, texts, typos, reads):
+    """Whatever small size the planner takes them for; a few exact words need no vocabulary."""
+    index = IndexTables.of(queries._parts(spark, sf_dir), queries.PARTS)
+    plan = plan_of(spark, matches(index, [SearchQuery(t) for t in texts], typos))
+    assert broadcasts(plan) and not any("count(1)" in b or "FileScan" in b for b in broadcasts(plan)) and is_clean(plan)
+    assert len(scans(plan)) >= reads and (reads > 1 or len(scans(plan)) == 1)
+
+
+def test_exact_words_on_the_fly_with_and_without_a_vocabulary(spark, sf_dir, monkeypatch):
+    index = IndexTables.of(queries._parts(spark, sf_dir), queries.PARTS)
+    batch = [SearchQuery("re"), SearchQuery("re s s"), SearchQuery("promo b"), SearchQuery("s", restrict_searchable_fields=("p_type",)), SearchQuery("")]
+    direct = sorted(map(str, matches(index, batch, False).collect()))
+    monkeypatch.setattr("lodestone.plans.search.PROBES", 0)
+    assert direct and direct == sorted(map(str, matches(index, batch, False).collect()))
+
+
 def test_no_query_of_the_engine_runs_python(spark, sf_dir):
     for name, f in queries.QUERIES.items():  # those of the engine run it while they are planned
         plan = plan_of(spark, f(spark, sf_dir))
