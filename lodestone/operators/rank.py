@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from lodestone.operators.index import ID
 from lodestone.settings import FILTERS_FIELD, SCORE_FIELD, RankingCriterion
+from lodestone.sources.files import scratch_folder
 
 
 def ranking_keys(df: DataFrame, criteria: tuple[RankingCriterion, ...]) -> list[Column]:
@@ -55,6 +56,24 @@ def page_of(hits: DataFrame, keys: list[Column], page: int, size: int, by: tuple
     return hits.withColumn("rank", rank).where((F.col("rank") <= page * size) & (F.col("rank") > (page - 1) * size))
 
 
+def rank_all(hits: DataFrame, keys: list[Column], by: tuple[str, ...] = ("qk",)) -> DataFrame:
+    """Every hit with ``rank`` from 1 and ``total``. Hits are dealt out in ranking order
+    and written once, numbered within their part; what earlier parts hold comes on top. A
+    part meets few queries besides its own, so there are at most as many offsets as parts
+    and queries."""
+    order = [F.col(c).asc() for c in by] + keys
+    placed = hits.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    path = scratch_folder(hits.sparkSession, "ranks")
+    placed.write.parquet(path)
+    held = hits.sparkSession.read.schema(placed.schema).parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    parts = held.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    every = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select(*by, "_part", (before - F.col("_first") + 1).alias("_offset"), F.sum("_n").over(every).alias("total"))
+    ranked = held.join(F.broadcast(offsets), [*by, "_part"])
+    return ranked.withColumn("rank", F.col("_at") + F.col("_offset")).drop("_at", "_part", "_offset")
+
+
 def project(df: DataFrame, fields: tuple[str, ...], always: tuple[str, ...] = (ID,)) -> DataFrame:
     """Q19: the listed fields that exist, and the identifier; all if none is listed."""
     if not fields:

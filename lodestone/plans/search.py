@@ -27,7 +27,7 @@ from lodestone.functions.text import tokenize_text
 from lodestone.operators.filters import compile_filters
 from lodestone.operators.fuzzy import PROBES, expansions, near_stored, near_terms, open_to_typos
 from lodestone.operators.index import ID, build_postings, dictionary, prefix_map, vocabulary
-from lodestone.operators.rank import distinct_first, page_of, ranking_keys
+from lodestone.operators.rank import distinct_first, page_of, rank_all, ranking_keys
 from lodestone.settings import IndexSettings, SearchQuery, page_bounds
 
 HIT_COLUMNS = ("qk", "rank", "total", "score", "filter_score", "num_typos", "number_exact_words", "field_matches")
@@ -225,15 +225,13 @@ def _filter_fields(tree: dict[str, Any] | None) -> set[str]:
     return own.union(*(_filter_fields(g) for g in tree.get("groups") or ()))
 
 
-def search_pages(index: IndexTables, queries: list[SearchQuery], typos: bool = True) -> DataFrame:
-    """The pages of all queries without their documents: HIT_COLUMNS and documentID.
-    Page and size are those of the first query (M14: they are shared). Of a document
-    only the columns that filter, rank or tell duplicates apart are read; where there
-    are none, documents are not read at all."""
+def _found(index: IndexTables, queries: list[SearchQuery], typos: bool) -> tuple[DataFrame, list[Column]]:
+    """Hits after filters and distinct, and the keys that rank them. Of a document only
+    the columns that filter, rank or tell duplicates apart are read; where there are
+    none, documents are not read at all."""
     if not queries:
         raise InvalidInput("at least one query is required")
     s = index.settings
-    page, size = page_bounds(queries[0].page, queries[0].page_size)
     hits = matches(index, queries, typos)
     used = {c.field for c in s.ranking_criteria} | {s.distinct_field}
     used = used.union(*(_filter_fields(q.filters) for q in queries))
@@ -251,9 +249,20 @@ def search_pages(index: IndexTables, queries: list[SearchQuery], typos: bool = T
     keys = ranking_keys(found, s.ranking_criteria)
     if s.distinct_field:
         found = distinct_first(found, s.distinct_field, keys)
+    return found, keys
+
+
+def _shown(ranked: DataFrame) -> DataFrame:
+    return ranked.select("qk", "rank", "total", "score", "filter_score", "num_typos", "number_exact_words", as_field_matches(F.col("matched")).alias("field_matches"), ID)
+
+
+def search_pages(index: IndexTables, queries: list[SearchQuery], typos: bool = True) -> DataFrame:
+    """The pages of all queries without their documents: HIT_COLUMNS and documentID.
+    Page and size are those of the first query (M14: they are shared)."""
+    found, keys = _found(index, queries, typos)
+    page, size = page_bounds(queries[0].page, queries[0].page_size)
     totals = found.groupBy("qk").agg(F.count(F.lit(1)).alias("total"))
-    paged = page_of(found, keys, page, size).join(F.broadcast(totals), "qk")
-    return paged.select("qk", "rank", "total", "score", "filter_score", "num_typos", "number_exact_words", as_field_matches(F.col("matched")).alias("field_matches"), ID)
+    return _shown(page_of(found, keys, page, size).join(F.broadcast(totals), "qk"))
 
 
 def search(index: IndexTables, queries: list[SearchQuery], typos: bool = True) -> DataFrame:
@@ -266,6 +275,15 @@ def search(index: IndexTables, queries: list[SearchQuery], typos: bool = True) -
     return met.select(*HIT_COLUMNS, *[F.col(f"`{c}`") for c in rest])
 
 
+def search_all(index: IndexTables, queries: list[SearchQuery], typos: bool = True) -> DataFrame:
+    """Every hit of all queries with the columns of its document, whatever page and size
+    they name. Ranks are given part by part, so no task holds all hits of a query."""
+    found, keys = _found(index, queries, typos)
+    rest = [c for c in index.docs.columns if c not in HIT_COLUMNS]
+    met = index.docs.join(_shown(rank_all(found, keys)).hint("merge"), ID)
+    return met.select(*HIT_COLUMNS, *[F.col(f"`{c}`") for c in rest])
+
+
 def fetch_documents(index: IndexTables, ids: list[str], columns: list[str]) -> DataFrame:
     """Q13: documents by identifier; the identifiers reach the scan."""
     where = any_equal(ID, ids) if len(ids) <= PROBES else F.col(ID).isin(ids)

@@ -21,6 +21,13 @@ def test_query(spark, sf_dir, con, name):
     agree(QUERIES[name](spark, sf_dir), con, ORACLE_SQL[name])
 
 
+def test_protected_token_lists_more_hits_than_any_page(spark, tmp_path):
+    """100 050 documents hold the word; no page size cuts them."""
+    docs = spark.range(100_050).selectExpr("id AS doc_id", "repeat('than ', CAST(1 + id % 3 AS INT)) AS text", "'en' AS lang", "'s' AS source", "id AS n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    agree(queries_engine.q5_protected_token(spark, str(tmp_path)), connect(str(tmp_path)), ORACLE_SQL["q5_protected_token"])
+
+
 def test_entry(spark):
     import __spark_entry__
 
